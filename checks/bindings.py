@@ -38,23 +38,42 @@ CATEGORIES = [
 KEY = ["enrolment"]
 
 
+# Declared schemas: reading a table then needs no job to look at its files.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").select(
-        F.col("user_id").alias("id_student"),
-        F.col("event_type").alias("id_site"),
-        F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("date"),
-        F.rint(F.col("value") * 100).cast("long").alias("sum_click"),
+    return load(spark, sf_dir, "events").selectExpr(
+        "user_id AS id_student",
+        "event_type AS id_site",
+        "datediff(to_date(ts), DATE'2024-01-01') AS date",
+        "CAST(rint(value * 100) AS BIGINT) AS sum_click",
     )
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = load(spark, sf_dir, "events").select(F.col("event_type").alias("id_site")).distinct()
-    activity = F.when(F.col("id_site").isin("view", "click"), "browse").otherwise(F.col("id_site"))
-    return kinds.withColumn("activity_type", activity)
+    return load(spark, sf_dir, "events").select("event_type").distinct().selectExpr(
+        "event_type AS id_site",
+        "IF(event_type IN ('view', 'click'), 'browse', event_type) AS activity_type",
+    )
 
 
 def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,62 +81,47 @@ def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
     people = (
         load(spark, sf_dir, "customer")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(F.broadcast(nation), F.expr("c_nationkey = n_nationkey"))
+        .join(F.broadcast(region), F.expr("n_regionkey = r_regionkey"))
     )
     orders = load(spark, sf_dir, "orders")
-    status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
-    result = (
-        F.when((status == "F") & urgent, "Distinction")
-        .when(status == "F", "Pass")
-        .when(status == "O", "Fail")
-        .when(status == "P", "Withdrawn")
-    )
-    decile = F.floor(F.col("c_acctbal") / 1000).cast("int")
-    band = F.when(
-        F.col("c_acctbal") >= 0,
-        F.concat((decile * 10).cast("string"), F.lit("-"), (decile * 10 + 10).cast("string"), F.lit("%")),
-    )
-    return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("enrolment"),
-        F.col("o_custkey").alias("id_student"),
-        F.col("c_mktsegment").alias("code_module"),
-        F.year("o_orderdate").cast("string").alias("code_presentation"),
-        F.when(F.col("n_nationkey") % 2 == 0, "F").otherwise("M").alias("gender"),
-        F.col("r_name").alias("region"),
-        F.col("o_orderpriority").alias("highest_education"),
-        band.alias("imd_band"),
-        F.element_at(
-            F.array(F.lit("0-35"), F.lit("35-55"), F.lit("55<=")), (F.col("o_custkey") % 3 + 1).cast("int")
-        ).alias("age_band"),
-        (F.col("o_orderkey") % 5).cast("int").alias("num_of_prev_attempts"),
-        (F.lit(30) * (F.lit(1) + F.col("o_orderkey") % 8)).cast("int").alias("studied_credits"),
-        F.when(F.col("o_custkey") % 10 == 0, "Y").otherwise("N").alias("disability"),
-        result.alias("final_result"),
+    return orders.join(people, F.expr("o_custkey = c_custkey")).selectExpr(
+        "o_orderkey AS enrolment",
+        "o_custkey AS id_student",
+        "c_mktsegment AS code_module",
+        "CAST(year(o_orderdate) AS STRING) AS code_presentation",
+        "IF(n_nationkey % 2 = 0, 'F', 'M') AS gender",
+        "r_name AS region",
+        "o_orderpriority AS highest_education",
+        "IF(c_acctbal >= 0, format_string('%d-%d%%', CAST(floor(c_acctbal / 1000) * 10 AS INT), "
+        "CAST(floor(c_acctbal / 1000) * 10 + 10 AS INT)), NULL) AS imd_band",
+        "CASE o_custkey % 3 WHEN 0 THEN '0-35' WHEN 1 THEN '35-55' ELSE '55<=' END AS age_band",
+        "CAST(o_orderkey % 5 AS INT) AS num_of_prev_attempts",
+        "CAST(30 * (1 + o_orderkey % 8) AS INT) AS studied_credits",
+        "IF(o_custkey % 10 = 0, 'Y', 'N') AS disability",
+        "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'Distinction' "
+        "WHEN o_orderstatus = 'F' THEN 'Pass' WHEN o_orderstatus = 'O' THEN 'Fail' "
+        "WHEN o_orderstatus = 'P' THEN 'Withdrawn' END AS final_result",
     )
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("id_student"),
-        F.col("l_partkey").alias("id_assessment"),
-        (F.col("l_quantity") * 2).alias("score"),
-        F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("date_submitted"),
+    return lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "o_custkey AS id_student",
+        "l_partkey AS id_assessment",
+        "l_quantity * 2 AS score",
+        "datediff(to_date(l_shipdate), to_date(o_orderdate)) AS date_submitted",
     )
 
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = (
-        F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "TMA")
-        .when(F.col("p_type").isin("SMALL", "MEDIUM"), "CMA")
-        .otherwise("Exam")
-    )
-    return load(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id_assessment"),
-        kind.alias("assessment_type"),
-        F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("date"),
-        F.col("p_retailprice").alias("weight"),
+    return load(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id_assessment",
+        "CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'TMA' "
+        "WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'CMA' ELSE 'Exam' END AS assessment_type",
+        "IF(p_size % 10 <> 0, p_size, NULL) AS date",
+        "p_retailprice AS weight",
     )
 
 
@@ -125,24 +129,22 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers without debt. The first returned line is the withdrawal; its day is
     text, and unreadable for pending orders."""
     lines, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
-    people = load(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
+    people = load(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey")
     returned = (
-        lines.where(F.col("l_returnflag") == "R")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.min(F.to_date("l_shipdate")).alias("first_return"))
+        lines.where("l_returnflag = 'R'")
+        .groupBy("l_orderkey")
+        .agg(F.expr("min(to_date(l_shipdate)) AS first_return"))
     )
-    kept = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
-    day = F.datediff(F.col("first_return"), F.to_date("o_orderdate")).cast("string")
-    unregistered = F.when(F.col("first_return").isNull(), None).when(
-        F.col("o_orderstatus") == "P", "?"
-    ).otherwise(day)
-    return kept.join(returned, "o_orderkey", "left").select(
-        F.col("o_custkey").alias("id_student"),
-        F.year("o_orderdate").cast("string").alias("code_presentation"),
-        F.datediff(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date"))
-        .cast("string")
-        .alias("date_registration"),
-        unregistered.alias("date_unregistration"),
+    return (
+        orders.join(people, F.expr("o_custkey = c_custkey"))
+        .join(returned, F.expr("o_orderkey = l_orderkey"), "left")
+        .selectExpr(
+            "o_custkey AS id_student",
+            "CAST(year(o_orderdate) AS STRING) AS code_presentation",
+            "CAST(datediff(to_date(o_orderdate), DATE'1998-01-01') AS STRING) AS date_registration",
+            "CASE WHEN first_return IS NULL THEN NULL WHEN o_orderstatus = 'P' THEN '?' "
+            "ELSE CAST(datediff(first_return, to_date(o_orderdate)) AS STRING) END AS date_unregistration",
+        )
     )
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from checks import bindings as b
 from checks.bindings import with_tables
 from cohortlens.fixed import IMD_ORDER, RESULT_ORDER, SEED, TEST_SHARE
-from cohortlens.functions.expressions import flag, round_even
+from cohortlens.functions.expressions import flag
 from cohortlens.operators import bands, encode, features, metrics, models, sampling, select, stats, summaries
-from cohortlens.operators.scale import shared_folder
+from cohortlens.operators.scale import settle, shared_folder
 from cohortlens.plans import master as plans
 from cohortlens.plans.reports import reports
 from cohortlens.sources import readers, sinks
@@ -43,15 +43,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    shown = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind in ("double", "float"):
-            c = round_even(c, 6)
-        elif kind in ("int", "bigint", "boolean", "smallint", "tinyint"):
-            c = c.cast("long")
-        shown.append(c.alias(name))
-    return df.select(*shown)
+    whole = ("int", "bigint", "boolean", "smallint", "tinyint")
+    shown = {"double": "rint(`{0}` * 1e6D) / 1e6D AS `{0}`"} | {
+        kind: "CAST(`{0}` AS BIGINT) AS `{0}`" for kind in whole
+    }
+    return df.selectExpr(*[shown.get(kind, "`{0}`").format(name) for name, kind in df.dtypes])
 
 
 def r(expression: str, name: str | None = None, digits: int = 6) -> str:
@@ -568,16 +564,15 @@ def histogram_withdrawal(spark, d):
     "(SELECT max(CAST(avg_assessment_score AS DOUBLE)) FROM joined) AS mx FROM joined",
     "final_result", 40)))
 def histogram_shared(spark, d):
-    return stats.histogram(
-        b.joined(spark, d, "s"), "avg_assessment_score", 40, by=["final_result"], shared_range=True
-    )
+    rows, _ = settle(b.joined(spark, d, "s").select("final_result", "avg_assessment_score"))
+    return stats.histogram(rows, "avg_assessment_score", 40, by=["final_result"], shared_range=True)
 
 
 @query("trim_quantile", with_tables("joined", f"""
     SELECT enrolment, {n("total_clicks")} FROM joined
     WHERE total_clicks < (SELECT quantile_cont(total_clicks, 0.98) FROM joined)"""))
 def trim_quantile(spark, d):
-    rows = b.joined(spark, d, "c").select("enrolment", "total_clicks")
+    rows, _ = settle(b.joined(spark, d, "c").select("enrolment", "total_clicks"))
     return stats.trim_quantile(rows, "total_clicks", 0.98)
 
 
@@ -593,7 +588,8 @@ def trim_quantile(spark, d):
                             OR avg_assessment_score > q3 + 1.5 * (q3 - q1)) AS outliers
     FROM joined JOIN q USING (final_result) GROUP BY final_result"""))
 def box_stats(spark, d):
-    return stats.box_stats(b.joined(spark, d, "s"), "final_result", "avg_assessment_score")
+    rows, _ = settle(b.joined(spark, d, "s").select("final_result", "avg_assessment_score"))
+    return stats.box_stats(rows, "final_result", "avg_assessment_score")
 
 
 # Row selections.
@@ -657,7 +653,8 @@ def missing_values(spark, d):
 
 @query("sample_n")
 def sample_n(spark, d):
-    rows = b.joined(spark, d, "cs").select("enrolment", "total_clicks", "avg_assessment_score", "final_result")
+    columns = ["enrolment", "total_clicks", "avg_assessment_score", "final_result"]
+    rows, _ = settle(b.joined(spark, d, "cs").select(*columns))
     return sampling.sample_n(rows, key=["enrolment"])
 
 
@@ -681,14 +678,15 @@ def scale_stats(spark, d):
 @query("standardise", with_tables("joined", "SELECT enrolment, " + ", ".join(
     r(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", c) for c in _SCALED) + " FROM joined"))
 def standardise(spark, d):
-    return encode.standardise(b.joined(spark, d, "cs").select("enrolment", *_SCALED), _SCALED)
+    rows, _ = settle(b.joined(spark, d, "cs").select("enrolment", *_SCALED))
+    return encode.standardise(rows, _SCALED)
 
 
 @query("split_fractions", with_tables("joined", f"""
     SELECT {n("target", "label")}, count(*) AS n_rows, {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_test")}
     FROM joined GROUP BY target"""))
 def split_fractions(spark, d):
-    rows = models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY)
+    rows, _ = settle(models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY))
     split = sampling.stratified_split(rows, "label", b.KEY)
     return split.groupBy(F.col("label").cast("long").alias("label")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").alias("n_test")
@@ -700,7 +698,7 @@ def split_fractions(spark, d):
            {n("floor(c * ((i + 1) / 5.0) + 0.5) - floor(c * (i / 5.0) + 0.5)", "n_rows")}
     FROM (SELECT target, count(*) AS c FROM joined GROUP BY target), (SELECT unnest(range(5)) AS i)"""))
 def fold_sizes(spark, d):
-    rows = models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY)
+    rows, _ = settle(models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY))
     folded = sampling.stratified_folds(rows, "label", b.KEY)
     return folded.groupBy(F.col("label").cast("long").alias("label"), "fold").agg(
         F.count(F.lit(1)).alias("n_rows")
@@ -775,7 +773,8 @@ SMALL_MODELS = {
 def _trained(spark: SparkSession, d: str, which: list[str]):
     rows = b.joined(spark, d)
     names = [f for f in b.FEATURES if f in rows.columns]
-    tagged = sampling.stratified_split(models.model_input(rows, names, keep=b.KEY), "label", b.KEY, seed=SEED)
+    stored, _ = settle(models.model_input(rows, names, keep=b.KEY))
+    tagged = sampling.stratified_split(stored, "label", b.KEY, seed=SEED)
     chosen = {name: SMALL_MODELS[name] for name in which}
     fitted = models.train(tagged.where(~F.col("is_test")), names, chosen)
     return fitted, tagged, names
@@ -811,7 +810,6 @@ def score_scenarios(spark, d):
 def cross_validate(spark, d):
     rows = b.joined(spark, d, "s")
     names = [f for f in b.FEATURES if f in rows.columns]
-    mean = models.cross_validate(
-        models.model_input(rows, names, keep=b.KEY), names, SMALL_MODELS["Logistic Regression"], b.KEY, k=3
-    )
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.lit(mean)).alias("cv_accuracy"))
+    stored, _ = settle(models.model_input(rows, names, keep=b.KEY))
+    mean = models.cross_validate(stored, names, SMALL_MODELS["Logistic Regression"], b.KEY, k=3)
+    return stored.agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.lit(mean)).alias("cv_accuracy"))

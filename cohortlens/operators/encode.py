@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.scale import BROADCAST_ROWS, WINDOW_ROWS, running_totals, salted_left_join, settle
+from cohortlens.operators.scale import (
+    BROADCAST_ROWS,
+    WINDOW_ROWS,
+    salted_left_join,
+    settle,
+    settled_running_totals,
+)
 
 
-def category_codes(df: DataFrame, columns: list[str], limit: int = WINDOW_ROWS) -> DataFrame:
-    """(column, value, code): code is the position of the value among the sorted distinct ones.
-    One pass over the table for all columns."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
-    )
-    distinct = (
-        df.select(F.inline(cells))
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .withColumn("one", F.lit(1))
-    )
-    ranked = running_totals(distinct, ["column"], "value", ["one"], limit)
-    return ranked.select("column", "value", (F.col("one_upto") - 1).cast("int").alias("code"))
+def category_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct (column, value) pairs of all the columns, found in one pass."""
+    cells = ", ".join(f"struct('{c}' AS column, CAST(`{c}` AS STRING) AS value)" for c in columns)
+    found = df.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").distinct()
+    return found.withColumn("one", F.lit(1))
 
 
 def rank_encode(
@@ -31,21 +28,24 @@ def rank_encode(
     suffix: str = "_enc",
     values_from: DataFrame | None = None,
     limit: int = BROADCAST_ROWS,
+    window_limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Add ``<column>_enc``; NULL gets -1. ``values_from`` may name a cheaper table that holds
-    the same values, such as the one the feature joins started from."""
-    codes, n = settle(category_codes(values_from if values_from is not None else df, columns))
+    """Add ``<column>_enc``, the position of the text among the sorted distinct ones; NULL gets
+    -1. ``values_from`` may name a cheaper table that holds the same values, such as the one
+    the feature joins started from."""
+    source = values_from if values_from is not None else df
+    values, n = settle(category_values(source, columns))
+    codes = settled_running_totals(values, n, ["column"], "value", ["one"], window_limit)
+    order = df.columns + [f"{c}{suffix}" for c in columns]
     for c in columns:
-        lookup = codes.where(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias(f"{c}{suffix}")
+        lookup = codes.where(F.col("column") == c).selectExpr(
+            f"value AS `{c}`", f"CAST(one_upto - 1 AS INT) AS `{c}{suffix}`"
         )
-        keyed = df.withColumn("_value", F.col(c).cast("string"))
         if n <= limit:
-            df = keyed.join(F.broadcast(lookup), "_value", "left")
+            df = df.join(F.broadcast(lookup), c, "left")
         else:
-            df = salted_left_join(keyed, [lookup], ["_value"])
-        df = df.drop("_value").withColumn(f"{c}{suffix}", F.coalesce(f"{c}{suffix}", F.lit(-1)))
-    return df
+            df = salted_left_join(df, [lookup], [c])
+    return df.na.fill(-1, [f"{c}{suffix}" for c in columns]).select(*order)
 
 
 def scale_stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -81,6 +81,8 @@ def salted_left_join(
     lookup rows of that key are copied to each; rows without a key, which match nothing, are
     dealt too; all other keys join as they are. The rows are shuffled once, however many
     lookups there are."""
+    if not lookups:
+        return rows
     hot = F.broadcast(hot_keys(rows, on, share, min_rows))
     deal = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     spread_out = F.col("_hot") | ~all_present(on)
@@ -104,6 +106,13 @@ def running_totals(
     """Add ``<s>_upto`` (running sum in ascending order, this row included) and ``<s>_all``
     (group total) for tables with one row per (by, order)."""
     stored, n = settle(rows)
+    return settled_running_totals(stored, n, by, order, sums, limit)
+
+
+def settled_running_totals(
+    stored: DataFrame, n: int, by: list[str], order: str, sums: list[str], limit: int = WINDOW_ROWS
+) -> DataFrame:
+    """The running totals of a table that is settled already and has n rows."""
     if n <= limit:
         return _running_in_groups(stored, by, order, sums)
     return _running_in_slices(stored, by, order, sums)

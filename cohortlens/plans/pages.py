@@ -20,6 +20,7 @@ from cohortlens.operators.models import (
     score_scenarios,
     train,
 )
+from cohortlens.operators.scale import settle
 from cohortlens.operators.sampling import sample_n, stratified_split
 from cohortlens.operators.select import distinct_values, explore, filter_in
 from cohortlens.operators.stats import box_stats, histogram, trim_quantile
@@ -127,7 +128,8 @@ def trained(
 ) -> tuple[dict[str, PipelineModel], DataFrame, list[str]]:
     """The interactive models, their test rows and their features."""
     features = form_features(master)
-    rows = stratified_split(model_input(master, features, keep=key), "label", key)
+    stored, _ = settle(model_input(master, features, keep=key))
+    rows = stratified_split(stored, "label", key)
     fit = train(rows.where(~F.col("is_test")), features, models, impute=False)
     return fit, rows.where("is_test"), features
 

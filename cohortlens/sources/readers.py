@@ -98,27 +98,22 @@ def find_table(spark: SparkSession, root: str, file_name: str, schema: StructTyp
 
 def missing_values(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_cols, n_null over all cells."""
-    nulls = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.sum(F.col(f"`{c}`").isNull().cast("long")), F.lit(0)) for c in df.columns],
-    )
+    nulls = " + ".join(f"count_if(`{c}` IS NULL)" for c in df.columns)
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_cols"),
-        nulls.alias("n_null"),
+        F.expr("count(1) AS n_rows"),
+        F.expr(f"CAST({len(df.columns)} AS BIGINT) AS n_cols"),
+        F.expr(f"{nulls} AS n_null"),
     )
 
 
 def audit(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
     """One row per table: is it there, how many rows, columns and missing cells."""
-    absent = spark.range(1).select(
-        *[F.lit(0).cast("long").alias(c) for c in ("n_rows", "n_cols", "n_null")]
+    absent = spark.range(1).selectExpr(
+        "CAST(0 AS BIGINT) AS n_rows", "CAST(0 AS BIGINT) AS n_cols", "CAST(0 AS BIGINT) AS n_null"
     )
     lines = [
-        (absent if df is None else missing_values(df)).select(
-            F.lit(name).alias("table_name"),
-            F.lit(int(df is not None)).alias("found"),
-            "n_rows", "n_cols", "n_null",
+        (absent if df is None else missing_values(df)).selectExpr(
+            f"'{name}' AS table_name", f"{int(df is not None)} AS found", "n_rows", "n_cols", "n_null"
         )
         for name, df in tables.items()
     ]
