@@ -26,29 +26,39 @@ def click_features(
     activity: str = "activity_type",
     cutoffs: tuple[int, ...] = DAY_CUTOFFS,
 ) -> DataFrame:
-    """Totals, active days, totals up to each cut-off day, deviation, last day, activity types."""
+    """Totals, active days, totals up to each cut-off day, deviation, activity types, last day.
+
+    The distinct counts are aggregates of their own: their shuffle carries (key, value) pairs
+    only, and the sums reach the reducers as one row per key and task."""
+    known = clicks.where(F.col(key).isNotNull())
     early = [
         F.coalesce(F.sum(F.when(F.col(day) <= d, F.col(measure))), F.lit(0)).alias(f"clicks_day{d}")
         for d in cutoffs
     ]
-    features = (
-        clicks.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            F.coalesce(F.sum(measure), F.lit(0)).alias("total_clicks"),
-            F.count_distinct(day).alias("active_days"),
-            *early,
-            F.coalesce(F.stddev_samp(measure), F.lit(0.0)).alias("click_std"),
-            F.max(day).alias("last_active_day"),
-        )
+    totals = known.groupBy(key).agg(
+        F.coalesce(F.sum(measure), F.lit(0)).alias("total_clicks"),
+        *early,
+        F.coalesce(F.stddev_samp(measure), F.lit(0.0)).alias("click_std"),
+        F.max(day).alias("last_active_day"),
     )
-    if sites is None:
-        return features
-    return features.join(
-        activity_types(clicks, sites, key=key, site=site, activity=activity), key, "left"
+    features = totals.join(active_days(clicks, key=key, day=day), key, "left")
+    types = []
+    if sites is not None:
+        found = activity_types(clicks, sites, key=key, site=site, activity=activity)
+        features = features.join(found, key, "left")
+        types = found.columns[1:]
+    cut = [f"clicks_day{d}" for d in cutoffs]
+    return features.select(
+        key, "total_clicks", "active_days", *cut, "click_std", *types, "last_active_day"
     )
 
 
+def active_days(clicks: DataFrame, *, key: str = "id_student", day: str = "date") -> DataFrame:
+    """Distinct days with activity per key."""
+    days = clicks.where(F.col(key).isNotNull()).select(key, day).distinct()
+    return days.groupBy(key).agg(F.count(day).alias("active_days"))
+
+
 def activity_types(
     clicks: DataFrame,
     sites: DataFrame,

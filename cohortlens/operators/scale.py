@@ -97,7 +97,8 @@ def salted_left_join(
     for lookup in lookups:
         spread = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
         joined = joined.join(spread, [*on, "_salt"], "left")
-    return joined.drop("_salt")
+    added = [c for lookup in lookups for c in lookup.columns if c not in on]
+    return joined.select(*rows.columns, *added)
 
 
 def running_totals(

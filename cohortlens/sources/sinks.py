@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    if fmt == "csv":
+        writer = writer.option("header", True).option("escape", '"')
+    writer.format(fmt).save(path)
 
 
 def write_reports(reports: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
