@@ -541,7 +541,7 @@ def _bins(rows: str, ranges: str, by: str, bins: int) -> str:
     "final_result", 30)))
 def histogram_by_group(spark, d):
     scored = features.with_assessment(b.submissions(spark, d), b.assessments(spark, d))
-    counted = stats.enrolment_score_counts(scored, b.enrolments(spark, d))
+    counted, _ = settle(stats.enrolment_score_counts(scored, b.enrolments(spark, d)))
     return stats.histogram(counted, "score", 30, by=["final_result"], weight="times")
 
 

@@ -42,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write the table to the shared folder; give back its stored form and its row count."""
+    """Write the table to the shared folder; give back its stored form and its row count (read
+    from the file footers)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -53,6 +54,13 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
 def attach(rows: DataFrame, lookup: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left-join a lookup table with the join strategy that its measured size allows."""
     stored, n = settle(lookup)
+    return attach_settled(rows, stored, n, on, limit)
+
+
+def attach_settled(
+    rows: DataFrame, stored: DataFrame, n: int, on: list[str], limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The same for a lookup that is settled already and has n rows."""
     if n <= limit:
         return rows.join(F.broadcast(stored), on, "left")
     return salted_left_join(rows, [stored], on)
@@ -164,28 +172,43 @@ def quantiles(
     by: list[str],
     column: str,
     points: dict[str, float],
-    weight: str | None = None,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group: one output column per point.
-
-    Values are counted first, so equal values cost one row. With few distinct values Spark's
-    own percentile finishes the job; with many, distributed running counts locate the ranks."""
+    """Exact, linearly interpolated quantiles per group: one output column per point. Values
+    are counted first, so equal values cost one row."""
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(*by, F.col(column).cast("double").alias("_value"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     stored, n = settle(counts)
+    return settled_quantiles(stored, n, by, "_value", "_n", points, limit)
+
+
+def settled_quantiles(
+    stored: DataFrame,
+    n: int,
+    by: list[str],
+    value: str,
+    times: str,
+    points: dict[str, float],
+    limit: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Quantiles of a settled table of n rows that says how often each value occurs. With few
+    rows Spark's own percentile finishes the job, its map holds no more than those; with many,
+    distributed running counts locate the ranks."""
     if n <= limit:
         shares = ", ".join(repr(float(q)) for q in points.values())
         found = stored.groupBy(*by).agg(
-            F.expr(f"percentile(_value, array({shares}), _n)").alias("_found")
+            F.expr(f"percentile(CAST(`{value}` AS DOUBLE), array({shares}), `{times}`)").alias("_found")
         )
         return found.select(
             *by, *[F.col("_found")[i].alias(name) for i, name in enumerate(points)]
         )
-    return _quantiles_by_rank(stored, by, points)
+    counts = stored.select(
+        *by, F.col(value).cast("double").alias("_value"), F.col(times).cast("long").alias("_n")
+    ).where("_value IS NOT NULL")
+    return _quantiles_by_rank(counts, by, points)
 
 
 def _quantiles_by_rank(counts: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import all_present, round_even
-from cohortlens.operators.scale import attach, quantiles, settle
+from cohortlens.operators.scale import attach, attach_settled, quantiles, settle, settled_quantiles
 from cohortlens.operators.summaries import enrolment_counts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -34,7 +34,7 @@ def histogram(
     else:
         ranges = rows.groupBy(*by).agg(*extremes)
     half = F.when(F.col("_min") == F.col("_max"), F.lit(0.5)).otherwise(F.lit(0.0))
-    ranges, _ = settle(
+    ranges, n = settle(
         ranges.where(F.col("_min").isNotNull()).select(
             *by, (F.col("_min") - half).alias("_min"), (F.col("_max") + half).alias("_max")
         )
@@ -46,7 +46,7 @@ def histogram(
         return F.when(i == bins, F.col("_max")).otherwise(F.col("_min") + i * step)
 
     if by:
-        placed = attach(rows, ranges, by)
+        placed = attach_settled(rows, ranges, n, by)
     else:
         span = ranges.select(F.struct("_min", "_max")).scalar()
         placed = rows.withColumn("_span", span).select("*", "_span.*")
@@ -129,7 +129,7 @@ def assessment_performance(
 ) -> DataFrame:
     """Count, mean, median and deviation of scores per assessment type and outcome."""
     by = [kind, outcome]
-    counted, _ = settle(
+    counted, n = settle(
         enrolment_score_counts(
             scored, enrolments, key=key, kind=kind, outcome=outcome, score=score
         )
@@ -139,7 +139,7 @@ def assessment_performance(
         F.coalesce(F.sum(times), F.lit(0)).alias("count"),
         F.try_divide(F.sum(F.col(score) * times), F.sum(times)).alias("mean"),
     )
-    median = quantiles(counted, by, score, {"median": 0.5}, weight="times")
+    median = settled_quantiles(counted, n, by, score, "times", {"median": 0.5})
     off = F.col(score) - F.col("mean")
     placed = attach(counted, centre.join(median, by, "left"), by)
     spread = placed.groupBy(*by).agg(

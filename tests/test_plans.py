@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as b
 from cohortlens.operators.features import click_features, score_features
-from cohortlens.operators.scale import quantiles, salted_left_join
+from cohortlens.operators.scale import salted_left_join, settled_quantiles
 from cohortlens.operators.select import filter_in
 from cohortlens.operators.stats import enrolment_score_counts
 from cohortlens.operators.summaries import daily_series, hierarchy_counts
@@ -102,5 +102,5 @@ def test_pairs_of_a_learner_are_not_emitted(spark):
     )
     made = enrolment_score_counts(scored, info)
     assert made.count() == 200 and made.agg(F.sum("times").alias("n")).first()["n"] == 9_000_000
-    medians = quantiles(made, ["final_result"], "score", {"m": 0.5}, weight="times")
+    medians = settled_quantiles(made, 200, ["final_result"], "score", "times", {"m": 0.5})
     assert {r["m"] for r in medians.collect()} == {49.5}

@@ -39,7 +39,7 @@ def test_quantiles_agree_with_numpy(spark, rows, skewed, limit):
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_weighted_quantile_equals_repeated_values(spark, rows, limit):
     given = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 4)], "x double, w int")
-    made = rows(scale.quantiles(given, [], "x", {"m": 0.5, "q": 0.6}, weight="w", limit=limit))[0]
+    made = rows(scale.settled_quantiles(given, 3, [], "x", "w", {"m": 0.5, "q": 0.6}, limit=limit))[0]
     repeated = [1.0] * 5 + [2.0] + [9.0] * 4
     assert made["m"] == pytest.approx(np.quantile(repeated, 0.5))
     assert made["q"] == pytest.approx(np.quantile(repeated, 0.6))
