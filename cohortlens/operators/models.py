@@ -3,9 +3,12 @@ importance and what-if scoring."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -35,6 +38,8 @@ INTERACTIVE_MODELS = {
         "maxBins": 255, "minInstancesPerNode": 20,
     },
 }
+# Fits that run side by side.
+PARALLEL_FITS = 4
 # Click deviation assumed for a what-if learner, as a share of the early clicks.
 DEVIATION_SHARE = 0.3
 
@@ -84,18 +89,30 @@ def make_pipeline(
     return Pipeline(stages=stages)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in one even part per core: a fit passes over them very many times."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def side_by_side(spark: SparkSession, fits: list[Callable]) -> list:
+    """Run independent fits from a few threads, as the jobs of one leave cores idle."""
+    with ThreadPool(min(PARALLEL_FITS, len(fits))) as pool:
+        return pool.map(lambda fit: inheritable_thread_target(spark)(fit)(), fits)
+
+
 def train(
     rows: DataFrame, features: list[str], models: dict[str, dict] = BATCH_MODELS, **options
 ) -> dict[str, PipelineModel]:
-    """Fit every model of the set. The rows are cached while the fits pass over them."""
-    cached = rows.persist()
+    """Fit every model of the set. The rows are spread evenly over the cores and cached while
+    the fits pass over them."""
+    cached = spread(rows).persist()
     n = cached.count()
-    fitted = {
-        name: make_pipeline(features, settings, n, **options).fit(cached)
-        for name, settings in models.items()
-    }
+    fitted = side_by_side(
+        rows.sparkSession,
+        [lambda s=s: make_pipeline(features, s, n, **options).fit(cached) for s in models.values()],
+    )
     cached.unpersist()
-    return fitted
+    return dict(zip(models, fitted))
 
 
 def predict(model: PipelineModel, rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -119,13 +136,15 @@ def cross_validate(
     **options,
 ) -> float:
     """Mean accuracy over k stratified folds, the model fitted anew for each."""
-    folded = stratified_folds(rows, "label", key, k, seed).persist()
-    scores = []
-    for i in range(k):
+    folded = spread(stratified_folds(rows, "label", key, k, seed)).persist()
+
+    def fold_accuracy(i: int) -> float:
         others = folded.where(F.col("fold") != i)
         model = make_pipeline(features, settings, others.count(), seed, **options).fit(others)
         held = predict(model, folded.where(F.col("fold") == i), ["label"])
-        scores.append(accuracy(held).first()["accuracy"])
+        return accuracy(held).first()["accuracy"]
+
+    scores = side_by_side(rows.sparkSession, [lambda i=i: fold_accuracy(i) for i in range(k)])
     folded.unpersist()
     return sum(scores) / k
 
