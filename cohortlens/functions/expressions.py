@@ -61,8 +61,14 @@ def all_present(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
+def fixed_text(c: str | Column, digits: int) -> Column:
+    """Fixed-point text. format_number rounds the exact binary value half to even, where
+    format_string would round the printed digits half up."""
+    return F.replace(F.format_number(to_col(c).cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def percent_text(c: str | Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", to_col(c).cast("double"))
+    return F.concat(fixed_text(c, digits), F.lit("%"))
 
 
 def thousands_text(c: str | Column, digits: int = 0) -> Column:

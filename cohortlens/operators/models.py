@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.fixed import CATEGORIES, FOLDS, FORM_FEATURES, MEASURES, SEED
-from cohortlens.functions.expressions import percent_text, round_even
+from cohortlens.functions.expressions import fixed_text, percent_text, round_even
 from cohortlens.operators.metrics import accuracy, auc
 from cohortlens.operators.sampling import stratified_folds
 from cohortlens.operators.select import best_row, top_k
@@ -172,7 +172,7 @@ def comparison_text(comparison: DataFrame) -> DataFrame:
     return comparison.orderBy("position").select(
         "model",
         percent_text(F.col("accuracy") * 100, 2).alias("Accuracy"),
-        F.format_string("%.4f", "auc").alias("ROC-AUC"),
+        fixed_text("auc", 4).alias("ROC-AUC"),
         percent_text(F.col("cv_accuracy") * 100, 2).alias("CV Accuracy"),
     )
 

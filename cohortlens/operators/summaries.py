@@ -9,8 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.fixed import AT_RISK, EARLY_DAY, PASSING, RESULT_COLUMNS
-from cohortlens.functions.expressions import all_present, flag, is_one_of, number, percent, percent_text
-from cohortlens.functions.expressions import round_even, thousands_text
+from cohortlens.functions.expressions import (
+    all_present,
+    fixed_text,
+    flag,
+    is_one_of,
+    number,
+    percent,
+    percent_text,
+    round_even,
+    thousands_text,
+)
 from cohortlens.operators.scale import settle
 from cohortlens.operators.select import in_label_order
 
@@ -262,8 +271,8 @@ def kpi_strip_text(df: DataFrame) -> DataFrame:
         "students": thousands_text("students"),
         "pass_rate": percent_text("pass_rate"),
         "avg_clicks": thousands_text("avg_clicks"),
-        "avg_score": F.format_string("%.1f", "avg_score"),
-        "active_days": F.format_string("%.0f", "active_days"),
+        "avg_score": fixed_text("avg_score", 1),
+        "active_days": fixed_text("active_days", 0),
         "withdrawal_rate": percent_text("withdrawal_rate"),
     }
     return kpi_strip(df).select(

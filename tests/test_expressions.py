@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import (
     band_index,
+    fixed_text,
     flag,
     is_one_of,
     label_code,
@@ -55,6 +56,12 @@ def test_bands_are_right_closed(spark, value, band):
     assert one(spark, band_index(F.lit(value).cast("double"), [0, 200, 500])) == band
 
 
+@pytest.mark.parametrize("value", [12.35, 0.25, 2.675, 1234.5, -0.05, 99.95, 1.005])
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_text_is_that_of_python(spark, value, digits):
+    assert one(spark, fixed_text(F.lit(value), digits)) == f"{value:.{digits}f}"
+
+
 def test_texts(spark):
     assert one(spark, percent(F.lit(1), F.lit(0))) is None
     assert one(spark, percent_text(F.lit(12.345), 1)) == "12.3%"
