@@ -38,7 +38,9 @@ def test_whole_batch(spark, rows, data, tmp_path):
     out = str(tmp_path)
     comparison = rows(batch.run(spark, data, out, settings=SMALL, folds=2), "position")
     assert [r["model"] for r in comparison] == list(SMALL)
-    assert all(r["auc"] > 0.5 and r["cv_accuracy"] > 0.4 for r in comparison)
+    # The test tables carry no signal: only ranges can be checked here, the signal test is in
+    # test_models.py.
+    assert all(0.3 < r["auc"] < 0.7 and 0.4 < r["cv_accuracy"] < 0.7 for r in comparison), comparison
     master = spark.read.parquet(f"{out}/master")
     assert len(master.columns) == 40
     assert master.count() == read_tables(spark, data)["studentInfo"].count()
