@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard
+from cohortlens.llm import jaccard, lpf, sentence_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lpf.repeated_spans_removed(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.spans_removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op10_sentence_spans": op10_sentence_spans,
 }
 SQL: dict[str, str] = {}
