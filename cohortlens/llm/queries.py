@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard, lpf, sentence_spans
+from cohortlens.llm import dac, jaccard, lpf, packing, sentence_spans
+from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,17 +24,27 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.written_and_read(table(spark, sf_dir, "documents"), path_of("byte_bpe_50k.json"), 2)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), path_of("word_bpe_49k.json"), 0)
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.spans_removed(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_token_ids": op3_token_ids,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_sentence_spans": op10_sentence_spans,
 }
 SQL: dict[str, str] = {}

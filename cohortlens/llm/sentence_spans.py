@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from cohortlens.llm.common import U64, answer, ask, chunked, ids_of, in_order, mix, tell, who_is_first
 
 SENTENCES = 2
-MIN_WORDS = 12
+MIN_WORDS = 20
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _BASE = U64(0x5851F42D4C957F2D)
 _UNBASE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
