@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import dac, jaccard, lpf, packing, sentence_spans
+from cohortlens.llm import dac, jaccard, lpf, packing, quality, sentence_spans
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path_of("word_bpe_49k.json"), 0)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.quality(table(spark, sf_dir, "documents"))
+    return made.withColumn("broken", F.array_join("broken", " "))
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.spans_removed(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,9 @@ QUERIES: dict[str, Query] = {
     "op3_token_ids": op3_token_ids,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op10_sentence_spans": op10_sentence_spans,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_quality_rules": quality.oracle(),
+}
