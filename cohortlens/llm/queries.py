@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import dac, jaccard, lpf, packing, quality, sentence_spans
+from cohortlens.llm import dac, jaccard, lpf, packing, quality, sentence_spans, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("broken", F.array_join("broken", " "))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.written_and_read(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.spans_removed(table(spark, sf_dir, "documents"))
 
@@ -51,8 +56,19 @@ QUERIES: dict[str, Query] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_sentence_spans": op10_sentence_spans,
 }
 SQL: dict[str, str] = {
     "op8_quality_rules": quality.oracle(),
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS leader FROM p),
+b AS (SELECT *, [CAST('0x' || substr(hex, 1 + 10 * i, 10) AS BIGINT) for i in range(4)] AS forties FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((forties[1 + i // 8] >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < leader THEN leader END AS refers_to
+FROM b
+""",
 }
