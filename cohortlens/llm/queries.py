@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import dac, jaccard, lpf, packing, quality, sentence_spans, warc
+from cohortlens.llm import dac, jaccard, langid, lpf, packing, quality, sentence_spans, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = langid.identified(table(spark, sf_dir, "documents"))
+    return made.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lpf.repeated_spans_removed(table(spark, sf_dir, "documents"))
     return made.select(
@@ -51,6 +56,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_ids": op3_token_ids,
     "op5_jaccard_join": op5_jaccard_join,
