@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import dac, jaccard, langid, lpf, packing, quality, sentence_spans, warc
+from cohortlens.llm import dac, jaccard, langid, lpf, packing, quality, sentence_spans, tiling, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path_of("word_bpe_49k.json"), 0)
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("matches", lambda m: F.struct(m["item_id"].alias("item_id"), m["covered"].alias("covered"), m["words"].alias("words")))
+    return made.withColumn("matches", F.to_json(F.sort_array(items)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.quality(table(spark, sf_dir, "documents"))
     return made.withColumn("broken", F.array_join("broken", " "))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_ids": op3_token_ids,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_string_tiling": op7_string_tiling,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_sentence_spans": op10_sentence_spans,
