@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import dac, jaccard, langid, lpf, packing, quality, sentence_spans, tiling, warc
+from cohortlens.llm import ctw, dac, jaccard, langid, lpf, packing, quality, sentence_spans, tiling, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.written_and_read(table(spark, sf_dir, "documents"), path_of("byte_bpe_50k.json"), 2)
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_ids": op3_token_ids,
+    "op4_context_tree": op4_context_tree,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_string_tiling": op7_string_tiling,
