@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens.llm.common import U64, crc_of_id, mix
 
@@ -160,7 +161,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """Per row: doc_id, lang_pred, score and spans (first word, words, letters, lang)."""
+    """All columns of the rows, and _lang_pred, _score and _spans (first word, words, letters, lang)."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.cells, model.scripts))
 
     def rows(batches):
@@ -172,7 +173,7 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                 if len(known) > TABLE:
                     known, table = {}, table[:0]
                 new, ids, letters = [], [], []
-                for text in part.column("text").to_pylist():
+                for text in part.column("_text").to_pylist():
                     found = _WORD.findall((text or "").lower())
                     at = list(map(known.get, found))
                     if None in at:
@@ -185,16 +186,21 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                                 at[i] = x
                     ids.append(np.array(at, np.int32))
                     letters.append(np.fromiter(map(len, found), np.int32, len(found)))
-                yield _labelled(part.column("doc_id"), own, ids, letters, table := np.concatenate([table, word_scores(own, new)]) if new and own.languages else table, penalty)
+                if new and own.languages:
+                    table = np.concatenate([table, word_scores(own, new)])
+                made = _labelled(own, ids, letters, table, penalty)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made], names=[*columns, "_lang_pred", "_score", "_spans"])
 
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<word: int, words: int, letters: int, lang: string>>"
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+    columns = df.columns
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(LABELS).fields])
+    return df.withColumn("_text", F.col("text").cast("string")).mapInArrow(rows, schema)
 
 
+LABELS = "_lang_pred string, _score double, _spans array<struct<word: int, words: int, letters: int, lang: string>>"
 SPAN = pa.struct([("word", pa.int32()), ("words", pa.int32()), ("letters", pa.int32()), ("lang", pa.string())])
 
 
-def _labelled(doc_id: pa.Array, model: Model, ids: list[np.ndarray], letters: list[np.ndarray], table: np.ndarray, penalty: float) -> pa.RecordBatch:
+def _labelled(model: Model, ids: list[np.ndarray], letters: list[np.ndarray], table: np.ndarray, penalty: float) -> list[pa.Array]:
     n, sizes = len(ids), np.array([len(x) for x in ids], np.int64)
     names, pred, score = np.array([*model.languages, "und"], object), np.full(n, len(model.languages)), np.zeros(n)
     offsets, spans = np.zeros(n + 1, np.int32), None
@@ -215,10 +221,7 @@ def _labelled(doc_id: pa.Array, model: Model, ids: list[np.ndarray], letters: li
             pa.array(np.add.reduceat(all_letters, cut).astype(np.int32)), pa.array(names[label[cut]], pa.string()),
         ]
     values = pa.StructArray.from_arrays(spans, fields=list(SPAN)) if spans else pa.array([], SPAN)
-    return pa.RecordBatch.from_arrays(
-        [doc_id, pa.array(names[pred], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), values)],
-        names=["doc_id", "lang_pred", "score", "spans"],
-    )
+    return [pa.array(names[pred], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), values)]
 
 
 def held_out(folds: int = 5) -> Column:
@@ -229,5 +232,7 @@ def held_out(folds: int = 5) -> Column:
 def identified(df: DataFrame, fit_documents: int = FIT_DOCUMENTS, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Learn from the rows that aren't held out and label all: doc_id, held_out, lang_pred, score, spans."""
     model = learn(df.where(~held_out()), fit_documents)
-    made = label_spans(df, model, penalty)
-    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
+    made = label_spans(df.select("doc_id", "text"), model, penalty)
+    return made.select(
+        "doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_spans").alias("spans")
+    )

@@ -32,6 +32,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens.llm.common import U64, answer, ask, chunk_counts, chunked, ids_of, in_order, mix, tell
 
@@ -293,11 +295,13 @@ def _resolved(table: pa.Table, length: int) -> pa.Table:
 
 
 def repeated_spans_removed(
-    df: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot_chunks: int = HOT_CHUNKS, chunk_bytes: int | None = None
+    df: DataFrame, length: int = LENGTH, k: int = ANCHOR, hot_chunks: int = HOT_CHUNKS, chunk_bytes: int | None = None, rest: bool = False
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (start, end of the maximal removed runs, in bytes)
-    and kept, the remaining bytes."""
-    chunks, n = chunked(df, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
+    and kept, the remaining bytes. With rest also kept_text, the remaining characters (a character of
+    which a cut leaves a part goes), and rest, a struct of all columns but text."""
+    columns = [F.struct(*[f"`{c}`" for c in df.columns if c != "text"]).alias("rest")] if rest else []
+    chunks, n = chunked(df, columns, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
     buckets = 4 * n
 
     def keys_of(table: pa.Table):
@@ -325,12 +329,14 @@ def repeated_spans_removed(
                 "n_removed": pa.array(out["n_removed"], pa.int64()),
                 "spans": pa.array([[{"start": x, "end": y} for x, y in z] for z in out["spans"]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 "kept": pa.array(out["kept"], pa.binary()),
+                **({"kept_text": pa.array([x.decode(errors="ignore") for x in out["kept"]], pa.string()), "rest": table["rest"]} if rest else {}),
             }
         )
 
     answers = answer(ask(chunks, keys_of, n), chunk_counts)
     gathered = tell(chunks, answers, lambda t, said: _gathered(t, said, buckets, length, k, hot_chunks), ROWS)
     ranges = gathered.groupBy("_bucket").applyInArrow(lambda t: _resolved(t, length), "_chunk int, ord int, s int, e int")
-    return chunks.groupBy("_chunk").cogroup(ranges.groupBy("_chunk")).applyInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    )
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    if rest:
+        schema = schema.add("kept_text", "string").add(chunks.schema["rest"])
+    return chunks.groupBy("_chunk").cogroup(ranges.groupBy("_chunk")).applyInArrow(finish, schema)

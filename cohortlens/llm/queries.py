@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortlens.llm import ctw, dac, jaccard, langid, lpf, packing, quality, sentence_spans, tiling, warc
 from cohortlens.llm.tokens import path_of
 
@@ -66,6 +67,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_ids": op3_token_ids,
