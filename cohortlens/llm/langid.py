@@ -161,7 +161,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """All columns of the rows, and _lang_pred, _score and _spans (first word, words, letters, lang)."""
+    """row (a struct of all columns), lang_pred, score and spans (first word, words, letters, lang)."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.cells, model.scripts))
 
     def rows(batches):
@@ -173,7 +173,7 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                 if len(known) > TABLE:
                     known, table = {}, table[:0]
                 new, ids, letters = [], [], []
-                for text in part.column("_text").to_pylist():
+                for text in part.column("text").to_pylist():
                     found = _WORD.findall((text or "").lower())
                     at = list(map(known.get, found))
                     if None in at:
@@ -189,14 +189,13 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                 if new and own.languages:
                     table = np.concatenate([table, word_scores(own, new)])
                 made = _labelled(own, ids, letters, table, penalty)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made], names=[*columns, "_lang_pred", "_score", "_spans"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *made], names=["row", "lang_pred", "score", "spans"])
 
-    columns = df.columns
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(LABELS).fields])
-    return df.withColumn("_text", F.col("text").cast("string")).mapInArrow(rows, schema)
+    given = df.select(F.struct("*").alias("row"), F.col("text").cast("string"))
+    return given.mapInArrow(rows, StructType([given.schema["row"], *StructType.fromDDL(LABELS).fields]))
 
 
-LABELS = "_lang_pred string, _score double, _spans array<struct<word: int, words: int, letters: int, lang: string>>"
+LABELS = "lang_pred string, score double, spans array<struct<word: int, words: int, letters: int, lang: string>>"
 SPAN = pa.struct([("word", pa.int32()), ("words", pa.int32()), ("letters", pa.int32()), ("lang", pa.string())])
 
 
@@ -224,15 +223,13 @@ def _labelled(model: Model, ids: list[np.ndarray], letters: list[np.ndarray], ta
     return [pa.array(names[pred], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), values)]
 
 
-def held_out(folds: int = 5) -> Column:
+def held_out(folds: int = 5, id_column: str = "doc_id") -> Column:
     """Whether a row's label is kept from the classifier: crc32 of the id, modulo, is 0."""
-    return crc_of_id() % folds == 0
+    return crc_of_id(id_column) % folds == 0
 
 
 def identified(df: DataFrame, fit_documents: int = FIT_DOCUMENTS, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Learn from the rows that aren't held out and label all: doc_id, held_out, lang_pred, score, spans."""
     model = learn(df.where(~held_out()), fit_documents)
     made = label_spans(df.select("doc_id", "text"), model, penalty)
-    return made.select(
-        "doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_spans").alias("spans")
-    )
+    return made.select("row.doc_id", held_out(id_column="row.doc_id").alias("held_out"), "lang_pred", "score", "spans")

@@ -163,10 +163,10 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
 
 
 def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of the documents, and matches (the items with tiles: item_id, covered, words,
-    coverage, tiles) and contaminated."""
-    columns = df.columns
-    made = df.withColumn("_matches", F.array().cast(f"array<{MATCH}>"))
+    """row (a struct of all columns of the documents), matches (the items with tiles: item_id,
+    covered, words, coverage, tiles) and contaminated."""
+    given = df.select(F.struct("*").alias("row"), F.col("text").cast("string"), F.array().cast(f"array<{MATCH}>").alias("matches"))
+    schema, made = given.schema, given
     for item_ids, texts in benchmark_blocks(benchmark, block_words):
         shared = df.sparkSession.sparkContext.broadcast(Index(item_ids, texts, min_match))
 
@@ -174,15 +174,14 @@ def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, perce
             for batch in batches:
                 for first in range(0, batch.num_rows, TEXTS):
                     part = batch.slice(first, TEXTS)
-                    found = _against(shared.value, part.column("_text").to_pylist(), min_match)
-                    before = part.column("_matches").to_pylist()
+                    found = _against(shared.value, part.column("text").to_pylist(), min_match)
+                    before = part.column("matches").to_pylist()
                     both = pa.array([a + b for a, b in zip(before, found, strict=True)], pa.list_(_MATCH))
-                    yield part.set_column(part.schema.get_field_index("_matches"), "_matches", both)
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), both], names=["row", "text", "matches"])
 
-        with_text = made.withColumn("_text", F.col("text").cast("string"))
-        made = with_text.mapInArrow(rows, with_text.schema).drop("_text")
-    enough = F.exists("_matches", lambda m: 100 * m["covered"] >= percent * m["words"])
-    return made.select(*[f"`{c}`" for c in columns], F.col("_matches").alias("matches"), enough.alias("contaminated"))
+        made = made.mapInArrow(rows, schema)
+    enough = F.exists("matches", lambda m: 100 * m["covered"] >= percent * m["words"])
+    return made.select("row", "matches", enough.alias("contaminated"))
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, percent: int = PERCENT) -> DataFrame:
@@ -190,6 +189,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     made = tiled(df.select("doc_id", "text"), benchmark, min_match, percent)
     full = F.filter("matches", lambda m: 100 * m["covered"] >= percent * m["words"])
     return made.select(
-        "doc_id", "contaminated", F.size(full).cast("long").alias("n_items"),
+        "row.doc_id", "contaminated", F.size(full).cast("long").alias("n_items"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("max_coverage"), "matches",
     )

@@ -26,23 +26,20 @@ from cohortlens.operators.scale import settle
 ORACLE_SQL = None
 
 
-def columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(~langid.held_out()))
     if not model.languages:  # nothing to learn from: only texts without letters are rejected
         return docs.where(F.col("text").rlike("\\p{L}"))
-    return langid.label_spans(docs, model).where("_lang_pred != 'und'").select(*columns(docs))
+    return langid.label_spans(docs, model).where("lang_pred != 'und'").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs)
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    kept = docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi")
-    kept = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*columns(docs))
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(stays, F.col("row.doc_id") == F.col("_stays"), "left_semi")
+    order = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.text")
+    kept = kept.withColumn("copy", F.row_number().over(order)).where("copy = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -57,7 +54,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return tiling.tiled(docs, items).where("NOT contaminated").select(*columns(docs))
+    return tiling.tiled(docs, items).where("NOT contaminated").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
