@@ -56,10 +56,8 @@ def _exact(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
     def pair(total: int, counts: np.ndarray) -> tuple[int, int] | None:
         low = have[have <= total // 2]
-        fits = low[counts[total - low] > 0]
-        if len(fits) and fits[0] * 2 == total and counts[fits[0]] < 2:
-            fits = fits[1:]
-        elif len(fits) and fits[-1] * 2 == total and counts[fits[-1]] < 2:
+        fits = low[(counts[low] > 0) & (counts[total - low] > 0)]
+        if len(fits) and fits[-1] * 2 == total and counts[fits[-1]] < 2:
             fits = fits[:-1]
         return (int(total - fits[0]), int(fits[0])) if len(fits) else None
 
