@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import U64, mix
+from cohortlens.operators.scale import settle
 
 MIN_MATCH = 4
 PERCENT = 50
@@ -167,7 +168,9 @@ def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, perce
     covered, words, coverage, tiles) and contaminated."""
     given = df.select(F.struct("*").alias("row"), F.col("text").cast("string"), F.array().cast(f"array<{MATCH}>").alias("matches"))
     schema, made = given.schema, given
-    for item_ids, texts in benchmark_blocks(benchmark, block_words):
+    for i, (item_ids, texts) in enumerate(benchmark_blocks(benchmark, block_words)):
+        if i:  # a pass over the documents for each block, so no task holds two of them
+            made, _ = settle(made)
         shared = df.sparkSession.sparkContext.broadcast(Index(item_ids, texts, min_match))
 
         def rows(batches, shared=shared):
