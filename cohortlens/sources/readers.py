@@ -11,28 +11,41 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlens.fixed import MISSING_TOKENS, RESULT_CODES
 from cohortlens.functions.expressions import label_code
-from cohortlens.sources.schemas import SCHEMAS
+from cohortlens.sources.schemas import LOGS, SCHEMAS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header. Columns are found by header name, missing-value tokens are NULL."""
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True, bad_cells: str = "stop"
+) -> DataFrame:
+    """CSV with a header. Columns are found by header name, missing-value tokens are NULL. A cell
+    that its declared type cannot hold stops the read; with ``bad_cells`` "null" it is NULL. With
+    ``multi_line`` a quoted cell may hold line breaks, and a file is read by one task; without it
+    files are split, which suits logs of codes and numbers."""
     header = spark.read.option("header", True).option("enforceSchema", False)
-    found = header.csv(path).columns
+    found = header.option("multiLine", multi_line).csv(path).columns
     texts = StructType([StructField(name, StringType()) for name in found])
-    rows = header.schema(texts).option("escape", '"').csv(path)
+    rows = header.schema(texts).option("escape", '"').option("multiLine", multi_line).csv(path)
     declared = {field.name: field.dataType for field in schema.fields}
     cells = []
     for name in found:
         text = F.when(~F.col(name).isin(MISSING_TOKENS), F.col(name))
-        cells.append(_cell(text, declared.get(name, StringType())).alias(name))
+        cells.append(_cell(name, text, declared.get(name, StringType()), bad_cells).alias(name))
     return rows.select(*cells)
 
 
-def _cell(text, data_type):
-    # "12.0" is a valid integer cell: a column that once held NULLs is written that way.
+def _cell(name, text, data_type, bad_cells):
+    if data_type.typeName() == "string":
+        return text
+    made = F.trim(text).try_cast(data_type)
     if data_type.typeName() in ("integer", "long"):
-        return F.trim(text).try_cast("double").try_cast(data_type)
-    return text if data_type.typeName() == "string" else F.trim(text).try_cast(data_type)
+        # "12.0" is a valid integer cell: a column that once held NULLs is written that way. It goes
+        # through a decimal, which keeps all digits.
+        spelled = F.trim(text).try_cast("decimal(38,10)")
+        made = F.coalesce(made, F.when(spelled == F.floor(spelled), spelled.try_cast(data_type)))
+    if bad_cells == "null":
+        return made
+    told = F.concat(F.lit(f"{name}: no {data_type.simpleString()} cell: "), text)
+    return F.when(text.isNotNull() & made.isNull(), F.raise_error(told).cast(data_type)).otherwise(made)
 
 
 def read_table(
@@ -42,12 +55,13 @@ def read_table(
     fmt: str = "csv",
     optional: bool = False,
     fallbacks: tuple[str, ...] = (),
+    multi_line: bool = True,
 ) -> DataFrame | None:
     """Read the first of the given paths that exists; None if none does and that is allowed."""
     for candidate in (path, *fallbacks):
         try:
             if fmt == "csv" and schema is not None:
-                return read_csv(spark, candidate, schema)
+                return read_csv(spark, candidate, schema, multi_line)
             reader = spark.read.format(fmt)
             if fmt == "csv":
                 reader = reader.option("header", True).option("inferSchema", True)
@@ -64,7 +78,7 @@ def read_tables(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str,
     """All input tables of a folder; a table that is not there is None."""
     suffix = ".csv" if fmt == "csv" else ".parquet"
     return {
-        name: read_table(spark, f"{folder}/{name}{suffix}", schema, fmt, optional=True)
+        name: read_table(spark, f"{folder}/{name}{suffix}", schema, fmt, optional=True, multi_line=name not in LOGS)
         for name, schema in SCHEMAS.items()
     }
 

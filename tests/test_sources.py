@@ -27,7 +27,7 @@ def test_csv_scan(spark, rows, folder):
 
 
 def test_missing_tokens_and_column_order(spark, rows, tmp_path):
-    (tmp_path / "a.csv").write_text('weight,date,id_assessment\n1.5,NaN,1\nn/a,5,2\n"",,"x"\n')
+    (tmp_path / "a.csv").write_text('weight,date,id_assessment\n1.5,NaN,1\nn/a,5,2\n"",,""\n')
     made = readers.read_csv(spark, str(tmp_path / "a.csv"), SCHEMAS["assessments"])
     assert rows(made) == [
         {"weight": 1.5, "date": None, "id_assessment": 1},
@@ -97,3 +97,28 @@ def test_odd_report_names_are_written(spark, tmp_path):
     report = spark.range(1).select(F.lit(1.0).alias("Pass Rate (%)"))
     paths = sinks.write_reports({"KPI_Summary": report}, str(tmp_path))
     assert spark.read.parquet(paths["KPI_Summary"]).columns == ["Pass Rate (%)"]
+
+
+def test_integers_keep_every_digit(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text('id_student,id_site,date,sum_click\n3000000000,9007199254740993,12.0, 7 \n"1",2,-3.00,\n')
+    made = rows(readers.read_csv(spark, str(tmp_path / "a.csv"), SCHEMAS["studentVle"]), "id_student")
+    assert made == [
+        {"id_student": 1, "id_site": 2, "date": -3, "sum_click": None},
+        {"id_student": 3000000000, "id_site": 9007199254740993, "date": 12, "sum_click": 7},
+    ]
+
+
+@pytest.mark.parametrize("cell", ["12.7", "x1", "99999999999999999999"])
+def test_a_cell_that_does_not_fit_stops_the_read(spark, tmp_path, cell):
+    (tmp_path / "a.csv").write_text(f"id_student,sum_click\n1,{cell}\n")
+    path = str(tmp_path / "a.csv")
+    with pytest.raises(Exception, match="sum_click: no bigint cell"):
+        readers.read_csv(spark, path, SCHEMAS["studentVle"]).collect()
+    assert readers.read_csv(spark, path, SCHEMAS["studentVle"], bad_cells="null").first()["sum_click"] is None
+
+
+def test_quoted_line_breaks_come_back(spark, rows, tmp_path):
+    given = spark.createDataFrame([("a\nb", 'q"x', 1), ("c,d", None, 2)], "region string, gender string, id_student long")
+    sinks.write_table(given, str(tmp_path / "t"), "csv")
+    made = readers.read_csv(spark, str(tmp_path / "t"), SCHEMAS["studentInfo"])
+    assert rows(made.select(*given.columns), "id_student") == rows(given, "id_student")
