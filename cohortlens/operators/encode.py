@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.scale import (
-    BROADCAST_ROWS,
     WINDOW_ROWS,
     salted_left_join,
     settle,
     settled_running_totals,
 )
 
+# Codes of a column may be broadcast up to this size; a value counts its bytes and this many more.
+BROADCAST_BYTES = 8_000_000
+CODE_BYTES = 32
+
 
 def category_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct (column, value) pairs of all the columns, found in one pass."""
@@ -27,21 +30,23 @@ def rank_encode(
     *,
     suffix: str = "_enc",
     values_from: DataFrame | None = None,
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
     window_limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add ``<column>_enc``, the position of the text among the sorted distinct ones; NULL gets
-    -1. ``values_from`` may name a cheaper table that holds the same values, such as the one
+    -1. A column whose values measure at most ``limit`` bytes is joined by broadcast. ``values_from`` may name a cheaper table that holds the same values, such as the one
     the feature joins started from."""
     source = values_from if values_from is not None else df
     values, n = settle(category_values(source, columns))
     codes = settled_running_totals(values, n, ["column"], "value", ["one"], window_limit)
+    # one line per column to be coded
+    sizes = dict(values.groupBy("column").agg(F.sum(F.octet_length("value") + CODE_BYTES)).collect())
     order = df.columns + [f"{c}{suffix}" for c in columns]
     for c in columns:
         lookup = codes.where(F.col("column") == c).selectExpr(
             f"value AS `{c}`", f"CAST(one_upto - 1 AS INT) AS `{c}{suffix}`"
         )
-        if n <= limit:
+        if sizes.get(c, 0) <= limit:
             df = df.join(F.broadcast(lookup), c, "left")
         else:
             df = salted_left_join(df, [lookup], [c])

@@ -21,11 +21,9 @@ from cohortlens.functions.expressions import all_present
 BROADCAST_ROWS = 100_000
 # A settled table of at most this many rows may be ordered or mapped per group in one task.
 WINDOW_ROWS = 1_000_000
-# A key is hot when it holds more rows than both of these allow. The share bounds the number
-# of hot keys (at most 1 / HOT_SHARE), so that their list can always be broadcast.
-HOT_SHARE = 0.001
+# A key is hot when it holds more rows than one task should; it is dealt over as many tasks as
+# keep each below that, at any size of the table.
 HOT_ROWS = 200_000
-SALTS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
     return context.getCheckpointDir()
@@ -66,44 +64,34 @@ def attach_settled(
     return salted_left_join(rows, [stored], on)
 
 
-def hot_keys(
-    rows: DataFrame, on: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys that hold more than a share of all rows: at most 1 / share of them."""
+def hot_keys(rows: DataFrame, on: list[str], rows_per_task: int = HOT_ROWS) -> DataFrame:
+    """Keys with more rows than a task should get, and over how many tasks (``_salts``) to deal them."""
     counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.agg(F.sum("_n")).scalar()
-    return counted.where((F.col("_n") > min_rows) & (F.col("_n") > total * share)).select(
-        *on, F.lit(True).alias("_hot")
-    )
+    salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
+    return counted.where(F.col("_n") > rows_per_task).select(*on, salts)
 
 
 def salted_left_join(
-    rows: DataFrame,
-    lookups: list[DataFrame],
-    on: list[str],
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    rows: DataFrame, lookups: list[DataFrame], on: list[str], rows_per_task: int = HOT_ROWS
 ) -> DataFrame:
-    """Left-join lookups on one key. Rows of a hot key are dealt over ``salts`` tasks and the
-    lookup rows of that key are copied to each; rows without a key, which match nothing, are
-    dealt too; all other keys join as they are. The rows are shuffled once, however many
-    lookups there are."""
+    """Left-join lookups on one key. Rows of a hot key are dealt over tasks and the lookup rows
+    of that key are copied to each; rows without a key, which match nothing, are dealt too; all
+    other keys join as they are. The rows are shuffled once, however many lookups there are. The
+    list of hot keys carries no hint: it is broadcast if it measures small, else joined by hash."""
     if not lookups:
         return rows
-    hot = F.broadcast(hot_keys(rows, on, share, min_rows))
-    deal = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    spread_out = F.col("_hot") | ~all_present(on)
+    hot = hot_keys(rows, on, rows_per_task)
+    # rows without a key are dealt by hash over a number of tasks that grows with nothing but them
+    alone = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16)).cast("int")
+    deal = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.col("_salts")).cast("int")
     joined = (
         rows.join(hot, on, "left")
-        .withColumn("_salt", F.when(spread_out, deal).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        .withColumn("_salt", F.when(~all_present(on), alone).otherwise(F.coalesce(deal, F.lit(0))))
+        .drop("_salts")
     )
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     for lookup in lookups:
-        spread = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        spread = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
         joined = joined.join(spread, [*on, "_salt"], "left")
     added = [c for lookup in lookups for c in lookup.columns if c not in on]
     return joined.select(*rows.columns, *added)
@@ -194,25 +182,22 @@ def settled_quantiles(
     points: dict[str, float],
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Quantiles of a settled table of n rows that says how often each value occurs. With few
-    rows Spark's own percentile finishes the job, its map holds no more than those; with many,
-    distributed running counts locate the ranks."""
-    if n <= limit:
-        shares = ", ".join(repr(float(q)) for q in points.values())
-        found = stored.groupBy(*by).agg(
-            F.expr(f"percentile(CAST(`{value}` AS DOUBLE), array({shares}), `{times}`)").alias("_found")
-        )
-        return found.select(
-            *by, *[F.col("_found")[i].alias(name) for i, name in enumerate(points)]
-        )
+    """Quantiles of a settled table of n rows that says how often each value occurs: running counts
+    locate the ranks, per group with few rows and per slice with many. The formula is the same, and
+    so are the results to the last bit."""
     counts = stored.select(
         *by, F.col(value).cast("double").alias("_value"), F.col(times).cast("long").alias("_n")
     ).where("_value IS NOT NULL")
-    return _quantiles_by_rank(counts, by, points)
+    if n <= limit:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        upto = group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counts.select("*", F.sum("_n").over(upto).alias("_n_upto"), F.sum("_n").over(group).alias("_n_all"))
+    else:
+        ranked = _running_in_slices(counts, by, "_value", ["_n"])
+    return _quantiles_by_rank(ranked, by, points)
 
 
-def _quantiles_by_rank(counts: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:
-    ranked = _running_in_slices(counts, by, "_value", ["_n"])
+def _quantiles_by_rank(ranked: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto")
 
     def value_at(rank):

@@ -20,11 +20,8 @@ from cohortlens.functions.expressions import (
     round_even,
     thousands_text,
 )
-from cohortlens.operators.scale import settle
 from cohortlens.operators.select import in_label_order
 
-PIVOT_VALUES = 10_000
-
 
 def value_counts(df: DataFrame, column: str, share: bool = False) -> DataFrame:
     """Rows per value, most frequent first; with ``share`` also the part of all rows."""
@@ -44,14 +41,12 @@ def crosstab(
 ) -> DataFrame:
     """Counts of (row, column) with one output column per column value, or row percentages.
 
-    With ``values`` None the values are read from the data. Percentages divide by all rows
+    With ``values`` None the values are read from the data, one output column for each: for a
+    column of few values. ``crosstab_cells`` gives any number of them as rows. Percentages divide by all rows
     that have both keys, so a value that is not listed still counts towards the row total."""
     pairs = df.where(all_present([row, column]))
     if values is None:
-        found, n = settle(pairs.select(column).distinct())
-        if n > PIVOT_VALUES:
-            raise ValueError(f"{column} has {n} values, too many for output columns")
-        values = sorted(r[0] for r in found.collect())
+        values = sorted(r[0] for r in pairs.select(column).distinct().collect())
     cells = pairs.groupBy(row).agg(
         *[F.count_if(F.col(column) == v).alias(str(v)) for v in values],
         F.count(F.lit(1)).alias("_all"),
@@ -63,6 +58,12 @@ def crosstab(
     return cells.drop("_all")
 
 
+def crosstab_cells(df: DataFrame, row: str, column: str) -> DataFrame:
+    """The cells of a cross-tab that have rows, in long form, however many values there are."""
+    pairs = df.where(all_present([row, column]))
+    return pairs.groupBy(row, column).agg(F.count(F.lit(1)).alias("value"))
+
+
 def melt_crosstab(df: DataFrame, row: str, column: str, values: list[str] = RESULT_COLUMNS) -> DataFrame:
     """The cross-tab in long form; cells without rows are there with 0."""
     wide = crosstab(df, row, column, values)

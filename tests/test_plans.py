@@ -83,7 +83,7 @@ def test_hot_learner_is_dealt_over_tasks(spark, conf):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id"
     )
     lookup = spark.range(0, 30000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-    made = salted_left_join(rows, [lookup], ["k"], share=0.01, min_rows=1000, salts=64)
+    made = salted_left_join(rows, [lookup], ["k"], rows_per_task=500)
     spread = made.where("k = 0").groupBy(F.spark_partition_id().alias("p")).count()
     # spark_partition_id is read below the regrouping, in the task that joined the rows.
     assert spread.count() >= 7

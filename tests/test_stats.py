@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import metrics, sampling, scale, stats
+from cohortlens.operators import metrics, sampling, scale, stats, summaries
 
 VALUES = [1.0, 2.0, 3.0, 10.0]
 
@@ -61,7 +61,7 @@ def test_salted_join_equals_plain_join(spark, min_rows):
     )
     one = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("a"))
     two = spark.range(20, 90).select(F.col("id").alias("k"), (F.col("id") * 3).alias("b"))
-    made = scale.salted_left_join(left, [one, two], ["k"], share=0.1, min_rows=min_rows, salts=8)
+    made = scale.salted_left_join(left, [one, two], ["k"], rows_per_task=min_rows)
     plain = left.join(one, "k", "left").join(two, "k", "left")
     assert made.count() == 2000
     assert made.exceptAll(plain).count() == 0 and plain.exceptAll(made).count() == 0
@@ -69,7 +69,7 @@ def test_salted_join_equals_plain_join(spark, min_rows):
 
 def test_hot_keys_are_few(spark):
     given = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
-    assert [r["k"] for r in scale.hot_keys(given, ["k"], share=0.1, min_rows=10).collect()] == [1]
+    assert [r["k"] for r in scale.hot_keys(given, ["k"], rows_per_task=10).collect()] == [1]
 
 
 def test_attach_beyond_the_limit(spark, rows):
@@ -225,3 +225,22 @@ def test_class_report(spark, rows):
     assert (made["Pass"]["precision"], made["Pass"]["recall"], made["Pass"]["f1"]) == (0.0, 0.0, 0.0)
     assert made["accuracy"]["f1"] == pytest.approx(2 / 3) and made["macro avg"]["f1"] == pytest.approx(0.4)
     assert made["weighted avg"]["recall"] == pytest.approx(2 / 3) and made["weighted avg"]["support"] == 3
+
+
+def test_quantiles_are_equal_to_the_last_bit_at_every_size(spark):
+    given = spark.range(100_000).select((F.col("id") % 7).alias("g"), (F.xxhash64("id") / 1e15).alias("x"))
+    points = {f"p{i}": i / 23 for i in range(24)}
+    few, many = (scale.quantiles(given, ["g"], "x", points, limit=limit).orderBy("g").collect() for limit in (10**9, 0))
+    assert few == many
+
+
+def test_hot_keys_get_tasks_by_their_rows(spark):
+    given = spark.range(10_000).select(F.when(F.col("id") < 50, 1).when(F.col("id") < 1050, 2).otherwise(F.col("id")).alias("k"))
+    found = {r["k"]: r["_salts"] for r in scale.hot_keys(given, ["k"], rows_per_task=20).collect()}
+    assert found == {1: 3, 2: 50}
+
+
+def test_cells_of_a_cross_tab_of_many_values(spark):
+    given = spark.range(20_002).select(F.lit("a").alias("r"), (F.col("id") % 10_001).alias("c"))
+    cells = summaries.crosstab_cells(given, "r", "c")
+    assert cells.count() == 10_001 and cells.agg(F.sum("value").alias("n")).first()["n"] == 20_002
