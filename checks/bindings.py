@@ -126,18 +126,16 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of customers without debt. The first returned line is the withdrawal; its day is
+    """All orders. The first returned line is the withdrawal; its day is
     text, and unreadable for pending orders."""
     lines, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
-    people = load(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey")
     returned = (
         lines.where("l_returnflag = 'R'")
         .groupBy("l_orderkey")
         .agg(F.expr("min(to_date(l_shipdate)) AS first_return"))
     )
     return (
-        orders.join(people, F.expr("o_custkey = c_custkey"))
-        .join(returned, F.expr("o_orderkey = l_orderkey"), "left")
+        orders.join(returned, F.expr("o_orderkey = l_orderkey"), "left")
         .selectExpr(
             "o_custkey AS id_student",
             "CAST(year(o_orderdate) AS STRING) AS code_presentation",
@@ -212,8 +210,7 @@ SQL_TABLES = {
                CASE WHEN first_return IS NULL THEN NULL WHEN o_orderstatus = 'P' THEN '?'
                     ELSE CAST(datediff('day', CAST(o_orderdate AS DATE), first_return) AS VARCHAR)
                END AS date_unregistration
-        FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0
-        LEFT JOIN (SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS first_return
+        FROM orders LEFT JOIN (SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS first_return
                    FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
     "scored": """
         SELECT submissions.*, assessment_type, weight, assessments.date AS due

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.bindings import with_tables
-from cohortlens.fixed import IMD_ORDER, RESULT_ORDER, SEED, TEST_SHARE
+from cohortlens.fixed import IMD_ORDER, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
 from cohortlens.operators import bands, encode, features, metrics, models, sampling, select, stats, summaries
 from cohortlens.operators.scale import settle, shared_folder
@@ -651,14 +651,23 @@ def missing_values(spark, d):
     return readers.missing_values(b.joined(spark, d))
 
 
-@query("sample_n")
+def key_hash(key: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', CAST({key} AS VARCHAR), '{SEED}')), 1, 15) AS BIGINT)"
+
+
+@query("sample_n", with_tables("joined", f"""
+    SELECT {n("enrolment")}, {n("total_clicks")}, {r("avg_assessment_score")}, final_result
+    FROM joined ORDER BY {key_hash("enrolment")} LIMIT {PLOT_ROWS}"""))
 def sample_n(spark, d):
     columns = ["enrolment", "total_clicks", "avg_assessment_score", "final_result"]
     rows, _ = settle(b.joined(spark, d, "cs").select(*columns))
     return sampling.sample_n(rows, key=["enrolment"])
 
 
-@query("sample_learners")
+@query("sample_learners", with_tables("enrolments", f"""
+    SELECT enrolments.* FROM enrolments WHERE id_student IN (
+        SELECT id_student FROM enrolments WHERE id_student IS NOT NULL GROUP BY id_student
+        ORDER BY {key_hash("id_student")} LIMIT 500)"""))
 def sample_learners(spark, d):
     return sampling.sample_entities([b.enrolments(spark, d)], n=500)[0]
 

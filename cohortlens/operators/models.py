@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -27,7 +28,7 @@ BATCH_MODELS = {
     "Logistic Regression": {"kind": "linear", "maxIter": 1000},
     "Random Forest": {"kind": "forest", "numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5},
     "Gradient Boosting": {"kind": "boost", "maxIter": 200, "maxDepth": 5, "stepSize": 0.05},
-    "XGBoost": {"kind": "boost", "maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "maxBins": 256},
+    "Boosted Trees, fine bins": {"kind": "boost", "maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "maxBins": 256},
 }
 INTERACTIVE_MODELS = {
     "Logistic Regression": {"kind": "linear", "maxIter": 1000},
@@ -89,11 +90,6 @@ def make_pipeline(
     return Pipeline(stages=stages)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows in one even part per core: a fit passes over them very many times."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def side_by_side(spark: SparkSession, fits: list[Callable]) -> list:
     """Run independent fits from a few threads, as the jobs of one leave cores idle."""
     with ThreadPool(min(PARALLEL_FITS, len(fits))) as pool:
@@ -103,9 +99,9 @@ def side_by_side(spark: SparkSession, fits: list[Callable]) -> list:
 def train(
     rows: DataFrame, features: list[str], models: dict[str, dict] = BATCH_MODELS, **options
 ) -> dict[str, PipelineModel]:
-    """Fit every model of the set. The rows are spread evenly over the cores and cached while
-    the fits pass over them."""
-    cached = spread(rows).persist()
+    """Fit every model of the set. The rows are evened out, in parts of the size that Spark advises,
+    and cached while the fits pass over them."""
+    cached = rows.hint("rebalance").persist()
     n = cached.count()
     fitted = side_by_side(
         rows.sparkSession,
@@ -136,7 +132,7 @@ def cross_validate(
     **options,
 ) -> float:
     """Mean accuracy over k stratified folds, the model fitted anew for each."""
-    folded = spread(stratified_folds(rows, "label", key, k, seed)).persist()
+    folded = stratified_folds(rows, "label", key, k, seed).hint("rebalance").persist()
 
     def fold_accuracy(i: int) -> float:
         others = folded.where(F.col("fold") != i)
@@ -209,8 +205,8 @@ def scenario_rows(scenarios: DataFrame, features: list[str]) -> DataFrame:
 def score_scenarios(
     models: dict[str, PipelineModel], scenarios: DataFrame, features: list[str], key: str = "scenario"
 ) -> DataFrame:
-    """(scenario, model, prediction, pass_pct, risk_pct, verdict) for every model. A model that
-    cannot score the scenarios reports class 0 and full risk."""
+    """(scenario, model, prediction, pass_pct, risk_pct, error, verdict) for every model. A model that
+    cannot take the scenarios reports class 0 and full risk, and why in ``error``."""
     rows = scenario_rows(scenarios, features)
     parts = []
     for name, model in models.items():
@@ -221,14 +217,16 @@ def score_scenarios(
                 "prediction",
                 round_even(F.col("score") * 100, 1).alias("pass_pct"),
                 round_even((1 - F.col("score")) * 100, 1).alias("risk_pct"),
+                F.lit(None).cast("string").alias("error"),
             )
-        except Exception:  # any failure of one model must leave the others' answers
+        except (AnalysisException, IllegalArgumentException) as refused:  # the others still answer
             scored = rows.select(
                 key,
                 F.lit(name).alias("model"),
                 F.lit(0).alias("prediction"),
                 F.lit(0.0).alias("pass_pct"),
                 F.lit(100.0).alias("risk_pct"),
+                F.lit(str(refused)).alias("error"),
             )
         parts.append(scored)
     verdict = F.when(F.col("prediction") == 1, "Pass").otherwise("At Risk")
