@@ -49,7 +49,7 @@ def test_mixed_texts_are_cut_into_spans(spark):
     asked = docs(spark, [(1, english + " " + german + " " + TEXT), (2, "Привет"), (3, "123"), (4, None)])
     found = {r.row.doc_id: r for r in langid.label_spans(asked, model).collect()}
     assert [s.lang for s in found[1].spans] == ["en", "de", "en"] and found[1].lang_pred == "en"
-    assert sum(s.words for s in found[1].spans) == len((english + german + TEXT).split()) - 0
+    assert sum(s.words for s in found[1].spans) == len((english + " " + german + " " + TEXT).split())
     assert found[2].lang_pred == "ru"
     assert [(found[i].lang_pred, found[i].score, found[i].spans) for i in (3, 4)] == [("und", 0.0, [])] * 2
 
