@@ -770,28 +770,27 @@ def roc_points(spark, d):
     return metrics.roc_points(_evaluated(spark, d))
 
 
-# Models, with small settings; the full presets are the library's defaults.
+# Models: the 27 features and the declared settings.
 
-SMALL_MODELS = {
-    "Logistic Regression": {"kind": "linear", "maxIter": 20},
-    "Random Forest": {"kind": "forest", "numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 5},
-    "Gradient Boosting": {"kind": "boost", "maxIter": 3, "maxDepth": 3, "stepSize": 0.1},
-}
+
+def _input(spark: SparkSession, d: str):
+    rows = b.master(spark, d)
+    names = [f"{c}_enc" for c in b.CATEGORIES] + b.FEATURES
+    stored, _ = settle(models.model_input(rows, names, keep=b.KEY))
+    return stored, names
 
 
 def _trained(spark: SparkSession, d: str, which: list[str]):
-    rows = b.joined(spark, d)
-    names = [f for f in b.FEATURES if f in rows.columns]
-    stored, _ = settle(models.model_input(rows, names, keep=b.KEY))
+    stored, names = _input(spark, d)
     tagged = sampling.stratified_split(stored, "label", b.KEY, seed=SEED)
-    chosen = {name: SMALL_MODELS[name] for name in which}
+    chosen = {name: models.BATCH_MODELS[name] for name in which}
     fitted = models.train(tagged.where(~F.col("is_test")), names, chosen)
     return fitted, tagged, names
 
 
 @query("train_compare")
 def train_compare(spark, d):
-    fitted, tagged, _ = _trained(spark, d, list(SMALL_MODELS))
+    fitted, tagged, _ = _trained(spark, d, list(models.BATCH_MODELS))
     return models.compare(fitted, tagged.where("is_test"))
 
 
@@ -810,15 +809,53 @@ def predict(spark, d):
 @query("score_scenarios")
 def score_scenarios(spark, d):
     """Every learner as a what-if case: what if nothing had been handed in late?"""
-    fitted, tagged, names = _trained(spark, d, ["Logistic Regression", "Random Forest"])
+    fitted, tagged, names = _trained(spark, d, list(models.BATCH_MODELS))
     cases = tagged.withColumnRenamed("enrolment", "scenario").drop("late_submissions", "click_std")
     return models.score_scenarios(fitted, cases, names)
 
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    rows = b.joined(spark, d, "s")
-    names = [f for f in b.FEATURES if f in rows.columns]
-    stored, _ = settle(models.model_input(rows, names, keep=b.KEY))
-    mean = models.cross_validate(stored, names, SMALL_MODELS["Logistic Regression"], b.KEY, k=3)
+    """Five folds of the linear model; ``plans.batch`` runs them for every model."""
+    stored, names = _input(spark, d)
+    mean = models.cross_validate(stored, names, models.BATCH_MODELS["Logistic Regression"], b.KEY)
     return stored.agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.lit(mean)).alias("cv_accuracy"))
+
+
+@query("split_rows", with_tables("joined", f"""
+    SELECT {n("enrolment")}, {n("target", "label")},
+           CAST(row_number() OVER (PARTITION BY target ORDER BY {key_hash("enrolment")})
+             <= floor(count(*) OVER (PARTITION BY target) * {TEST_SHARE} + 0.5) AS BIGINT) AS is_test
+    FROM joined"""))
+def split_rows(spark, d):
+    """Which rows the split chooses."""
+    rows, _ = settle(models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY))
+    made = sampling.stratified_split(rows, "label", b.KEY)
+    return made.select("enrolment", F.col("label").cast("long").alias("label"), "is_test")
+
+
+@query("fold_rows", with_tables("joined", f"""
+    SELECT {n("enrolment")}, {n("target", "label")}, CAST(list_sum([
+             CASE WHEN place > floor(total * (i / 5.0) + 0.5) THEN 1 ELSE 0 END for i in range(1, 5)]) AS BIGINT) AS fold
+    FROM (SELECT enrolment, target, row_number() OVER (PARTITION BY target ORDER BY {key_hash("enrolment")}) AS place,
+                 count(*) OVER (PARTITION BY target) AS total FROM joined)"""))
+def fold_rows(spark, d):
+    """Which fold each row falls into."""
+    rows, _ = settle(models.model_input(features.join_features(b.enrolments(spark, d), []), [], keep=b.KEY))
+    made = sampling.stratified_folds(rows, "label", b.KEY)
+    return made.select("enrolment", F.col("label").cast("long").alias("label"), "fold")
+
+
+@query("predict_counts", with_tables("joined", f"""
+    SELECT {n("target", "label")}, {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_rows")},
+           {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_score_in_range")},
+           {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_class_follows_score")}
+    FROM joined GROUP BY target"""))
+def predict_counts(spark, d):
+    """What holds of every prediction: the score is a probability, the class follows from it."""
+    made = predict(spark, d)
+    return made.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("score").between(0, 1)).alias("n_score_in_range"),
+        F.count_if((F.col("prediction") == 1) == (F.col("score") > 0.5)).alias("n_class_follows_score"),
+    )

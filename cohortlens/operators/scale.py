@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,11 +40,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Where tables were settled, in order.
+_SETTLED: list[str] = []
+
+
+@contextmanager
+def settled_for_now(spark: SparkSession):
+    """Delete on leaving what was settled inside. For programs that have written their results."""
+    before = len(_SETTLED)
+    try:
+        yield
+    finally:
+        paths, _SETTLED[before:] = _SETTLED[before:], []
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
     """Write the table to the shared folder; give back its stored form and its row count (read
     from the file footers)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    _SETTLED.append(path)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     return stored, stored.count()

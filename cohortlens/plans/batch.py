@@ -10,7 +10,7 @@ from cohortlens.fixed import FOLDS, TEST_SHARE
 from cohortlens.operators import models
 from cohortlens.operators.metrics import classification_report, confusion, roc_points
 from cohortlens.operators.sampling import stratified_split
-from cohortlens.operators.scale import settle
+from cohortlens.operators.scale import settle, settled_for_now
 from cohortlens.plans.eda import eda_tables
 from cohortlens.plans.master import early_warning, eda_extracts, master_table
 from cohortlens.plans.pages import ENROLMENT_KEY
@@ -21,15 +21,28 @@ from cohortlens.sources.sinks import read_names, save_models, write_best, write_
 NEEDED = ["studentInfo", "studentVle", "vle", "studentAssessment", "assessments", "studentRegistration"]
 
 
-def prepare(spark: SparkSession, data: str, out: str, fmt: str = "csv") -> DataFrame:
-    """Audit, exploratory tables, feature table, feature list and early-warning table."""
-    tables = read_tables(spark, data, fmt)
+def stored_tables(spark: SparkSession, tables: dict[str, DataFrame | None], out: str) -> dict[str, DataFrame | None]:
+    """The tables that are there, written to Parquet once."""
+    for name, table in tables.items():
+        if table is not None:
+            write_table(table, f"{out}/tables/{name}")
+    return {
+        name: table if table is None else spark.read.schema(table.schema).parquet(f"{out}/tables/{name}")
+        for name, table in tables.items()
+    }
+
+
+def prepare(spark: SparkSession, data: str, out: str, fmt: str = "csv", product: bool = False) -> DataFrame:
+    """Audit, exploratory tables, feature table, feature list and early-warning table. Text tables
+    are parsed once and read from Parquet after that. ``product`` also writes the extract with a row for
+    every submission and enrolment of a learner."""
+    tables = stored_tables(spark, read_tables(spark, data, fmt), out) if fmt == "csv" else read_tables(spark, data, fmt)
     found = audit(spark, tables)
     write_table(found, f"{out}/audit")
     missing = [name for name in NEEDED if tables[name] is None]
     if missing:
         raise FileNotFoundError(f"these tables are missing: {missing}")
-    write_reports(eda_extracts(tables), f"{out}/extracts")
+    write_reports(eda_extracts(tables, product), f"{out}/extracts")
     write_reports(eda_tables(tables), f"{out}/eda")
     write_table(master_table(tables), f"{out}/master")
     master = spark.read.parquet(f"{out}/master")
@@ -76,11 +89,14 @@ def export(spark: SparkSession, data: str, out: str, fmt: str = "csv") -> dict[s
     master = read_table(spark, f"{out}/master", fmt="parquet", optional=True)
     if master is None:
         raise FileNotFoundError("no feature table: run prepare first")
-    return write_reports(reports(master, read_tables(spark, data, fmt)), f"{out}/reports")
+    stored = read_tables(spark, f"{out}/tables", "table") if fmt == "csv" else read_tables(spark, data, fmt)
+    return write_reports(reports(master, stored), f"{out}/reports")
 
 
 def run(spark: SparkSession, data: str, out: str, fmt: str = "csv", **options) -> DataFrame:
-    prepare(spark, data, out, fmt)
-    comparison = evaluate(spark, out, **options)
-    export(spark, data, out, fmt)
+    """All steps; nothing that they settled in the shared folder stays."""
+    with settled_for_now(spark):
+        prepare(spark, data, out, fmt)
+        comparison = evaluate(spark, out, **options)
+        export(spark, data, out, fmt)
     return comparison

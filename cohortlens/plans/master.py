@@ -74,16 +74,19 @@ def submissions_with_results(
     submissions: DataFrame, assessments: DataFrame, enrolments: DataFrame
 ) -> DataFrame:
     """Each submission with type and weight of its assessment, once per enrolment of the learner.
-    This extract is the row-level product itself; the statistics over it do not go through it."""
+    This extract is the row-level product itself; the statistics over it do not go through it. The
+    submissions of a learner with very many are dealt over tasks, the enrolments copied to each."""
     marked = with_assessment(submissions, assessments)
-    return marked.join(enrolments.select("id_student", "final_result"), "id_student", "left")
+    return salted_left_join(marked, [enrolments.select("id_student", "final_result")], ["id_student"])
 
 
-def eda_extracts(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {
-        "student_info": tables["studentInfo"],
-        "clicks_result": clicks_with_results(tables["studentVle"], tables["studentInfo"]),
-        "assess_merged": submissions_with_results(
-            tables["studentAssessment"], tables["assessments"], tables["studentInfo"]
-        ),
-    }
+def eda_extracts(tables: dict[str, DataFrame], product: bool = False) -> dict[str, DataFrame]:
+    """The exploratory extracts. The product of a learner's submissions and enrolments is made only
+    if asked for; else its two sides are there, from which any statistic can be had."""
+    info = tables["studentInfo"]
+    made = {"student_info": info, "clicks_result": clicks_with_results(tables["studentVle"], info)}
+    if product:
+        made["assess_merged"] = submissions_with_results(tables["studentAssessment"], tables["assessments"], info)
+    else:
+        made["assess_marked"] = with_assessment(tables["studentAssessment"], tables["assessments"])
+    return made

@@ -75,10 +75,12 @@ def read_table(
 
 
 def read_tables(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame | None]:
-    """All input tables of a folder; a table that is not there is None."""
-    suffix = ".csv" if fmt == "csv" else ".parquet"
+    """All input tables of a folder; a table that is not there is None. ``fmt`` is csv, parquet, or
+    table for Parquet folders that bear the tables' names alone."""
+    suffix = {"csv": ".csv", "parquet": ".parquet", "table": ""}[fmt]
+    kind = "csv" if fmt == "csv" else "parquet"
     return {
-        name: read_table(spark, f"{folder}/{name}{suffix}", schema, fmt, optional=True, multi_line=name not in LOGS)
+        name: read_table(spark, f"{folder}/{name}{suffix}", schema, kind, optional=True, multi_line=name not in LOGS)
         for name, schema in SCHEMAS.items()
     }
 

@@ -1,9 +1,12 @@
 """The whole batch from CSV files to reports and models."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks import bindings as b
+from cohortlens.operators.scale import shared_folder
 from cohortlens.plans import batch, eda
 from cohortlens.sources.readers import read_tables
 from cohortlens.sources.sinks import load_best, write_table
@@ -36,7 +39,11 @@ def data(spark, tmp_path_factory):
 
 def test_whole_batch(spark, rows, data, tmp_path):
     out = str(tmp_path)
+    shared = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     comparison = rows(batch.run(spark, data, out, settings=SMALL, folds=2), "position")
+    assert set(os.listdir(shared)) == before
+    assert sorted(os.listdir(f"{out}/extracts")) == ["assess_marked", "clicks_result", "student_info"]
     assert [r["model"] for r in comparison] == list(SMALL)
     # The test tables carry no signal: only ranges can be checked here, the signal test is in
     # test_models.py.
