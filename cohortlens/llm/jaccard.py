@@ -83,7 +83,7 @@ def described(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     def finish(table: pa.Table, said: np.ndarray) -> pa.Table:
         table, sets = _chunk_sets(table, words)
         keys, local = np.unique(_join(sets), return_counts=True)
-        times = np.maximum(said.astype(np.int64), local)
+        shared_keys = (said > 1) | (local > 1)
         out = {"n": [], "set_key": [], "shared": [], "prefix": []}
         seen = set()
         for s in sets:
@@ -91,10 +91,11 @@ def described(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             shared, prefix = None, None
             if len(s) and key not in seen:
                 seen.add(key)
-                df_of = times[np.searchsorted(keys, s)]
-                some = df_of > 1
+                at = np.searchsorted(keys, s)
+                some = shared_keys[at]
                 if some.sum() >= needed(len(s), percent):
-                    order = np.lexsort((s[some], df_of[some]))
+                    # one order for all chunks: by the number of chunks, then by hash
+                    order = np.lexsort((s[some], said[at[some]]))
                     shared = s[some][order].tobytes()
                     prefix = len(s) - needed(len(s), percent) + 1 - int((~some).sum())
             for name, value in zip(out, (len(s), key, shared, prefix), strict=True):
