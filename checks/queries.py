@@ -770,7 +770,8 @@ def roc_points(spark, d):
     return metrics.roc_points(_evaluated(spark, d))
 
 
-# Models: the 27 features and the declared settings.
+# Models: the 27 features and the declared settings, fitted on a bounded number of rows.
+FIT_ROWS = 4000
 
 
 def _input(spark: SparkSession, d: str):
@@ -784,7 +785,7 @@ def _trained(spark: SparkSession, d: str, which: list[str]):
     stored, names = _input(spark, d)
     tagged = sampling.stratified_split(stored, "label", b.KEY, seed=SEED)
     chosen = {name: models.BATCH_MODELS[name] for name in which}
-    fitted = models.train(tagged.where(~F.col("is_test")), names, chosen)
+    fitted = models.train(tagged.where(~F.col("is_test")), names, chosen, fit_rows=FIT_ROWS, key=b.KEY)
     return fitted, tagged, names
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.fixed import CATEGORIES, FOLDS, FORM_FEATURES, MEASURES, SEED
 from cohortlens.functions.expressions import fixed_text, percent_text, round_even
 from cohortlens.operators.metrics import accuracy, auc
-from cohortlens.operators.sampling import stratified_folds
+from cohortlens.operators.sampling import sample_n, stratified_folds
 from cohortlens.operators.select import best_row, top_k
 
 # Fixed settings of the two model sets. "linear" has regularisation 1/n (penalty C = 1).
@@ -97,10 +97,18 @@ def side_by_side(spark: SparkSession, fits: list[Callable]) -> list:
 
 
 def train(
-    rows: DataFrame, features: list[str], models: dict[str, dict] = BATCH_MODELS, **options
+    rows: DataFrame,
+    features: list[str],
+    models: dict[str, dict] = BATCH_MODELS,
+    fit_rows: int | None = None,
+    key: list[str] | None = None,
+    **options,
 ) -> dict[str, PipelineModel]:
-    """Fit every model of the set. The rows are evened out, in parts of the size that Spark advises,
+    """Fit every model of the set. ``fit_rows`` bounds the rows that the fits see, chosen by the hash
+    of ``key``; without it they see all. The rows are evened out, in parts of the size that Spark advises,
     and cached while the fits pass over them."""
+    if fit_rows is not None:
+        rows = sample_n(rows, fit_rows, key=key)
     cached = rows.hint("rebalance").persist()
     n = cached.count()
     fitted = side_by_side(
