@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 import zlib
 
@@ -29,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import text_bytes
 from cohortlens.operators.scale import shared_folder
 
 #: Bytes of a block in one record, and of a chunk of the transfer framing.
 SEGMENT = 32_768
 CHUNK = 8_192
-#: Bytes of payloads for each archive file.
-FILE_BYTES = 32_000_000
+#: Bytes of blocks in an archive file, at most.
+FILE_BYTES = 64_000_000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
@@ -124,11 +122,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment: i
                 out += records(*row, segment)
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
-    n = max(1, math.ceil(text_bytes(pages, "html") / FILE_BYTES))
     rows = with_leaders(pages, min_bytes).mapInArrow(made, "record binary")
-    # the join deals the pages by digest; the hint evens out sizes, so no archive grows with the data
-    rows = rows.hint("rebalance", n) if n > 1 else rows
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(folder)
+    # a record is at most a segment, so a number of records bounds the archive that a reader holds
+    writer = rows.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", max(1, FILE_BYTES // segment))
+    writer.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 def cut_archive(data: bytes):
