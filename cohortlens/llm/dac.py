@@ -171,7 +171,8 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
             for content in batch.column("content").to_pylist():
                 for one in images(content):
                     ends = np.r_[one.starts[1:], one.n_ids]
-                    found = [one.tokens(a, b) for a, b in zip(one.starts.tolist(), ends.tolist(), strict=True)]
+                    every = one.tokens(0, one.n_ids)  # all documents of the image: one run of its levels
+                    found = [every[a:b] for a, b in zip(one.starts.tolist(), ends.tolist(), strict=True)]
                     n = len(found)
                     columns = {
                         "part": pa.array([one.part] * n, pa.int64()), "shard": pa.array([one.shard] * n, pa.int64()),

@@ -18,7 +18,7 @@ import public_tokenizers
 from cohortlens.llm.common import single_threaded
 
 #: Words kept in each of a task's tables; a full table is emptied.
-TABLE = 400_000
+TABLE = 1_000_000
 #: White space on which splitters may differ: texts that hold some are given to the library whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The same for files that keep white space, beside runs of it.
