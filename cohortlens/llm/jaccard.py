@@ -110,7 +110,8 @@ def described(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             }
         )
 
-    answers = answer(ask(chunks, keys_of, n_chunks), chunk_counts)
+    # half keys: a chance agreement only keeps a class in the join that the product then drops
+    answers = answer(ask(chunks, keys_of, n_chunks, np.uint32), chunk_counts, np.uint32)
     return tell(chunks, answers, finish, "doc_id long, n long, set_key binary, shared binary, prefix int")
 
 
