@@ -3,12 +3,12 @@ the hashes are joined over all documents, and the sentences of every run but the
 are removed.
 
 Sentences end at ., ! or ? before white space and at line breaks; they are compared without regard to
-case (A to Z) and white space. A run begins at every sentence and is the shortest one of at least
-``sentences`` sentences and ``min_words`` words, so that the same passage gives the same runs wherever
-it stands, and chance repeats of a few short sentences are no passage. The first of its kind is that
-of the smallest doc_id, then the first in the document. The join asks about each chunk's
-distinct hashes only (``common.ask``), so a passage that a third of all documents hold is one
-entry per chunk.
+case (A to Z) and white space. A run has at least ``least`` sentences and ``min_words`` words, so that
+chance repeats of a few short sentences are no passage. The shortest runs that begin and that end at
+every sentence stand for all: any run is covered by those inside it, so its sentences go if and
+only if they go for one of these. The first of its kind is that of the smallest doc_id, then the
+first in the document. The join asks about each chunk's distinct hashes only (``common.ask``), so a
+passage that a third of all documents hold is one entry per chunk.
 
 Defined results: null and empty texts have no sentences and stay as they are (null: empty). Texts
 too short for a run are kept. Repeated rows are documents of their own: the first one stays. Rows
@@ -62,9 +62,10 @@ class Runs:
         n = len(real)
         upto = np.r_[0, np.cumsum(w)]
         last = np.maximum(np.searchsorted(upto, upto[:-1] + min_words) - 1, np.arange(n) + least - 1)
-        end_of_doc = np.searchsorted(doc, doc, "right") if n else np.empty(0, int)
-        start = np.flatnonzero(last < end_of_doc)
-        last = last[start]
+        start = np.minimum(np.searchsorted(upto, upto[1:] - min_words, "right") - 1, np.arange(n) - least + 1)
+        begins = np.flatnonzero(last < np.searchsorted(doc, doc, "right"))
+        ends = np.flatnonzero(start >= np.searchsorted(doc, doc))
+        start, last = np.divmod(np.unique(np.r_[begins * n + last[begins], start[ends] * n + ends]), max(n, 1))
         with np.errstate(over="ignore"):
             power = np.cumprod(np.r_[U64(1), np.full(n, _BASE)])
             sums = np.r_[U64(0), np.cumsum(mix(h) * power[:-1])]

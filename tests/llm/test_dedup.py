@@ -159,6 +159,43 @@ def test_sentence_spans_match_a_plain_scan(spark, chunk):
     assert sum(r.n_removed > 0 for r in got) > 5
 
 
+def plain_spans_of_all_runs(pairs, least, min_words):
+    seen, out = set(), {}
+    for i, t in sorted(pairs):
+        cut = sentence_spans.sentences(t) if t else []
+        words = [t[a:b].encode().lower().split() for a, b in cut]
+        real = [k for k, w in enumerate(words) if w]
+        gone = set()
+        for x in range(len(real)):
+            for y in range(x + least, len(real) + 1):
+                key = tuple(b" ".join(words[k]) for k in real[x:y])
+                if sum(len(words[k]) for k in real[x:y]) >= min_words:
+                    if key in seen:
+                        gone.update(range(real[x], real[y - 1] + 1))
+                    seen.add(key)
+        out[i] = (len(cut), len(gone), "".join(t[a:b] for k, (a, b) in enumerate(cut) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize(("least", "min_words", "chunk"), [(2, 20, None), (2, 20, 900), (3, 12, 900), (2, 0, 900)])
+def test_sentence_spans_match_all_runs(spark, least, min_words, chunk):
+    import random
+
+    rng = random.Random(least * min_words)
+
+    def prose(k):
+        return [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "\n", ".\n\n"]) for _ in range(k)]
+
+    passages = [prose(rng.randint(2, 9)) for _ in range(8)]
+    texts = [" ".join(x for _ in range(rng.randint(0, 3)) for x in prose(rng.randint(0, 4)) + rng.choice(passages)) for _ in range(60)]
+    # the tail of a repeated passage: fewer words than a run has, then foreign text
+    head, tail = " ".join(f"w{i}" for i in range(22)) + ". ", "Short tail here. "
+    texts += [head + tail + "One other text follows it with quite a few words of its own.", head + tail + "Nothing alike in this one, whose end is a different sentence."]
+    pairs = list(enumerate(texts))
+    got = sentence_spans.spans_removed(docs(spark, pairs), least, min_words, chunk_bytes=chunk).collect()
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in got} == plain_spans_of_all_runs(pairs, least, min_words)
+
+
 def test_sentence_spans_of_awkward_rows(spark):
     got = sentence_spans.spans_removed(messy(spark)).collect()
     by_id = defaultdict(list)
