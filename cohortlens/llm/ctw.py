@@ -9,11 +9,14 @@ follow; contexts never seen leave the word to the next shorter one. The code len
 over its bits.
 
 The counts and the contexts grow with the data, so nobody holds them all. A chunk of texts asks about its
-distinct grams (context and byte), and all subtrees below two bytes of context meet in one task each, which builds
-them from the counts of all chunks and answers with the code length of every gram asked for. Depths 0 and 1,
-shared by all, are fitted before on the counts of (two bytes of context, byte), at most 2^24 numbers by
-construction; their weights are those of the tree cut at depth 2. Word counts for the unigram base travel the
-same way, and the number of distinct words is summed from what each task of words found.
+distinct grams (context and byte) in blocks by the hash of the whole gram, where the counts of all chunks are
+added up, so that a gram goes on once however many chunks have it. All grams below ``CUT`` bytes of context then meet in
+one task, 2^24 at most by construction at depth 5; it builds their subtree and answers with the code length of each. Depths 0 to
+2, shared by many tasks, are fitted before on the counts of (two bytes of context, byte), at most 2^24 numbers by
+construction. The weights of depth 2 need the log weights of all subtrees below: these are summed in tasks by two bytes of
+context and told to the subtrees. The weights of depths 0 and 1 are those of the tree cut at depth 2. Word counts
+for the unigram base are added up like those of grams, and the number of distinct words is summed from what each
+task of words found.
 
 Defined results: a null text is empty: its end alone is scored. Without training texts each bit has probability
 1/2. Repeated rows are scored, and learned from, as often as they occur. Rows without a doc_id count as id 0 of
@@ -21,6 +24,7 @@ the hash, so they are training rows. Extra columns are ignored. The result holds
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ from cohortlens.llm.common import U64, blocks, chunked, crc_of_id, in_order, mix
 from cohortlens.operators.scale import settle
 
 DEPTH = 5
+#: Bytes of context whose subtrees are built in one task.
+CUT = 3
 FOLDS, HELD_FOLD = 7, 2
 END = b"\n"
 #: Bytes of texts whose grams are sorted at once.
@@ -55,6 +61,11 @@ def block_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _rising(n0, _EXACT, 0.5) + _rising(n1, _EXACT, 0.5) - _rising(n0 + n1, _FACTORIAL, 1.0)
 
 
+def _parent(child: np.ndarray, bit: int) -> np.ndarray:
+    """The nodes one byte less deep."""
+    return ((child >> U64(bit + 8)) << U64(bit)) | (child & U64((1 << bit) - 1))
+
+
 class Tree:
     """Nodes of contexts of ``top`` to ``bottom`` bytes. A key is a context, nearest byte first, and a byte."""
 
@@ -75,11 +86,34 @@ class Tree:
                 weighted = own_log
                 if depth < bottom:
                     child, child_log = below[bit]
-                    parent = ((child >> U64(bit + 8)) << U64(bit)) | (child & U64((1 << bit) - 1))
-                    deeper = np.bincount(np.searchsorted(node, parent), child_log, len(node))
+                    deeper = np.bincount(np.searchsorted(node, _parent(child, bit)), child_log, len(node))
                     weighted = np.logaddexp(own_log, deeper) - np.log(2)
                 self.nodes[depth, bit] = (node, n0, n1, np.exp(own_log - np.log(2) - weighted))
                 below[bit] = (node, weighted)
+        self.below = below
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the nodes above ``top``: bit and node in one number, sorted, and the sum of their children's
+        log weights."""
+        ids, logs = [np.empty(0, np.uint64)], [np.empty(0)]
+        for bit, (child, child_log) in self.below.items():
+            node, back = np.unique(_parent(child, bit), return_inverse=True)
+            ids.append(node | U64(bit << 32))
+            logs.append(np.bincount(back, child_log, len(node)))
+        return np.concatenate(ids), np.concatenate(logs)
+
+    def weighed(self, ids: np.ndarray, deeper: np.ndarray) -> Tree:
+        """This tree with the weights of its deepest nodes from the sums of all subtrees below."""
+        out = copy.copy(self)
+        out.nodes = dict(self.nodes)
+        for bit in range(8):
+            node, n0, n1, weight = self.nodes[self.bottom, bit]
+            a, b = np.searchsorted(ids, np.array([bit << 32, (bit + 1) << 32], np.uint64))
+            at, weight = np.searchsorted(node, ids[a:b] & U64(0xFFFFFFFF)), weight.copy()
+            own_log = block_log(n0[at], n1[at])
+            weight[at] = np.exp(own_log - np.logaddexp(own_log, deeper[a:b]))
+            out.nodes[self.bottom, bit] = (node, n0, n1, weight)
+        return out
 
     def mixed(self, keys: np.ndarray, bytes_deep: int, p: list[np.ndarray], known: list[np.ndarray], from_depth: int) -> None:
         """Mix the estimates of depths from_depth to ``top`` into p, the probabilities of each key's
@@ -165,14 +199,23 @@ def _word_counts(words: list[list[bytes]], train: np.ndarray) -> tuple[np.ndarra
 
 
 def _by_subtree(keys: np.ndarray, buckets: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of grams by the task of their two nearest bytes, then key; and where tasks begin."""
-    bucket = (mix(keys >> U64(8 * (depth - 1))) % U64(buckets)).astype(np.int64)
+    """The order of grams by the task of their ``CUT`` nearest bytes, then key; and where tasks begin."""
+    return _dealt(mix(keys >> U64(8 * (depth - CUT + 1))), buckets)
+
+
+def _by_gram(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by the bucket of the whole gram, then key; and where buckets begin."""
+    return _dealt(mix(keys), buckets)
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = (hashes % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def top_tree(train: DataFrame) -> Tree:
-    """Depths 0 and 1 from the counts of (two bytes of context, byte) of the training texts."""
+    """Depths 0 to 2 from the counts of (two bytes of context, byte) of the training texts."""
 
     def counts(batches):
         for batch in batches:
@@ -187,13 +230,13 @@ def top_tree(train: DataFrame) -> Tree:
 
 
 def _asked(chunks: DataFrame, buckets: int, depth: int) -> DataFrame:
-    """(_bucket, _chunk, keys, counts): grams of a subtree task (_bucket below buckets), and words."""
+    """(_bucket, _chunk, keys, counts): grams by their hash (_bucket below buckets), and words."""
 
     def one(table: pa.Table) -> pa.Table:
         train = table["train"].to_numpy()
         words = [words_of(x) for x in table["text"].to_pylist()]
         keys, n = _gram_counts([_spelt(x) for x in words], train, depth)
-        order, at = _by_subtree(keys, buckets, depth)
+        order, at = _by_gram(keys, buckets)
         made = [(b, keys[order[at[b] : at[b + 1]]], n[order[at[b] : at[b + 1]]]) for b in range(buckets) if at[b] < at[b + 1]]
         keys, n = _word_counts(words, train)
         at = blocks(keys, buckets)
@@ -210,34 +253,108 @@ def _asked(chunks: DataFrame, buckets: int, depth: int) -> DataFrame:
     return chunks.groupBy("_chunk").applyInArrow(one, "_bucket int, _chunk int, keys binary, counts binary")
 
 
+def _read(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+
+
+def _split(values: np.ndarray, blobs: pa.ChunkedArray, width: int = 8) -> pa.Array:
+    """The values of each blob's entries."""
+    ends = np.cumsum([len(x) // width for x in blobs.to_pylist()])
+    return pa.array([x.tobytes() for x in np.split(values, ends[:-1])], pa.binary())
+
+
+def _merged(asked: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """(_sub, _bucket, keys, counts): every gram once, with its count over all chunks, by subtree task."""
+
+    def one(table: pa.Table) -> pa.Table:
+        bucket, made = table["_bucket"][0].as_py(), []
+        if bucket < buckets:
+            keys, n = _counted([(_read(table, "keys", np.uint64), _read(table, "counts", np.int64))])
+            order, at = _by_subtree(keys, buckets, depth)
+            made = [(b, keys[order[at[b] : at[b + 1]]], n[order[at[b] : at[b + 1]]]) for b in range(buckets) if at[b] < at[b + 1]]
+        return pa.table(
+            {
+                "_sub": pa.array([b for b, _, _ in made], pa.int32()),
+                "_bucket": pa.array([bucket] * len(made), pa.int32()),
+                "keys": pa.array([k.tobytes() for _, k, _ in made], pa.binary()),
+                "counts": pa.array([n.tobytes() for _, _, n in made], pa.binary()),
+            }
+        )
+
+    return asked.groupBy("_bucket").applyInArrow(one, "_sub int, _bucket int, keys binary, counts binary")
+
+
+def _subtrees(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, Tree]:
+    """The grams of a subtree task, sorted, their order, and the tree of those that training has."""
+    keys, n = _read(table, "keys", np.uint64), _read(table, "counts", np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    return keys, order, Tree(keys[n > 0], n[n > 0], CUT, depth)
+
+
+def _weighed(merged: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """(_sub, _pair, nodes, logs): for the nodes of depth 2 that a subtree task has children of, the
+    sum of the log weights of all their children."""
+
+    def up(table: pa.Table) -> pa.Table:
+        ids, logs = _subtrees(table, depth)[2].sums()
+        context = (ids & U64(0xFFFFFFFF)) >> (ids >> U64(32))
+        order, at = _dealt(mix(context), buckets)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        return pa.table(
+            {
+                "_pair": pa.array(full, pa.int32()),
+                "_sub": pa.array(np.full(len(full), table["_sub"][0].as_py()), pa.int32()),
+                "nodes": pa.array([ids[order[at[i] : at[i + 1]]].tobytes() for i in full], pa.binary()),
+                "logs": pa.array([logs[order[at[i] : at[i + 1]]].tobytes() for i in full], pa.binary()),
+            }
+        )
+
+    def pair(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_sub", "ascending")])
+        ids, back = np.unique(_read(table, "nodes", np.uint64), return_inverse=True)
+        total = np.bincount(back, _read(table, "logs", np.float64), len(ids))
+        return table.select(["_sub", "_pair", "nodes"]).append_column("logs", _split(total[back], table["nodes"]))
+
+    sums = merged.groupBy("_sub").applyInArrow(up, "_pair int, _sub int, nodes binary, logs binary")
+    return sums.groupBy("_pair").applyInArrow(pair, "_sub int, _pair int, nodes binary, logs binary")
+
+
 def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
     """(_chunk, _bucket, said, distinct): 4 bytes for every key, the bits of a gram or the count of a
     word; the number of distinct training words, told to one chunk of each task."""
 
-    def one(table: pa.Table) -> pa.Table:
+    def down(table: pa.Table, got: pa.Table) -> pa.Table:
+        table = table.sort_by([("_bucket", "ascending")])
+        keys, order, tree = _subtrees(table, depth)
+        ids, logs = _read(got, "nodes", np.uint64), _read(got, "logs", np.float64)
+        by_id = np.argsort(ids)
+        bits = np.empty(len(keys), np.float32)
+        bits[order] = code_lengths(tree, top.value.weighed(ids[by_id], logs[by_id]), keys)
+        return pa.table({"_bucket": table["_bucket"], "_sub": table["_sub"], "bits": _split(bits, table["keys"])})
+
+    def one(table: pa.Table, got: pa.Table) -> pa.Table:
         table = table.sort_by([("_chunk", "ascending")])
-        blobs = table["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint64)
-        n = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
-        every, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, n, len(every))
+        every, back = np.unique(_read(table, "keys", np.uint64), return_inverse=True)
         distinct = 0
         if table["_bucket"][0].as_py() < buckets:
-            learned = total > 0
-            said = code_lengths(Tree(every[learned], total[learned], 2, depth), top.value, every).astype(np.float32)
+            said = np.empty(len(every), np.float32)
+            said[_by_subtree(every, buckets, depth)[0]] = _read(got.sort_by([("_sub", "ascending")]), "bits", np.float32)
         else:
+            total = np.bincount(back, _read(table, "counts", np.int64), len(every))
             said, distinct = np.minimum(total, 0xFFFFFFFF).astype(np.uint32), int((total > 0).sum())
-        said = said[back]
-        ends = np.cumsum([len(x) // 8 for x in blobs])
         return pa.table(
             {
                 "_chunk": table["_chunk"], "_bucket": table["_bucket"],
-                "said": pa.array([x.tobytes() for x in np.split(said, ends[:-1])], pa.binary()),
-                "distinct": pa.array([distinct] + [0] * (len(blobs) - 1), pa.int64()),
+                "said": _split(said[back], table["keys"]),
+                "distinct": pa.array([distinct] + [0] * (len(table) - 1), pa.int64()),
             }
         )
 
-    return asked.groupBy("_bucket").applyInArrow(one, "_chunk int, _bucket int, said binary, distinct long")
+    merged = _merged(asked, buckets, depth)
+    weighed = _weighed(merged, buckets, depth)
+    bits = merged.groupBy("_sub").cogroup(weighed.groupBy("_sub")).applyInArrow(down, "_bucket int, _sub int, bits binary")
+    return asked.groupBy("_bucket").cogroup(bits.groupBy("_bucket")).applyInArrow(one, "_chunk int, _bucket int, said binary, distinct long")
 
 
 class Lookup:
@@ -289,7 +406,7 @@ def scored(df: DataFrame, depth: int = DEPTH, chunk_bytes: int | None = None, tr
         lengths = np.frombuffer(b"".join(said[:split]), np.float32).astype(np.float64)
         counts = np.frombuffer(b"".join(said[split:]), np.uint32).astype(np.float64)
         keys, _ = _gram_counts(spelt, learned, depth)
-        order, _ = _by_subtree(keys, buckets, depth)
+        order, _ = _by_gram(keys, buckets)
         places, bits = Lookup(keys[order]), np.zeros(len(spelt))
         for key, which, first in grams(spelt, depth):
             bits[first : first + which[-1] + 1] += np.bincount(which, lengths[places.of(key)], which[-1] + 1)

@@ -132,6 +132,30 @@ def test_code_lengths_match_the_recursion(spark, chunk):
         assert math.isclose(r.bits_per_byte, want[r.doc_id] / len(spelt[r.doc_id]), rel_tol=1e-5)
 
 
+def test_grams_of_a_hot_context_are_dealt_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    far = np.unique(rng.integers(97, 123, (5000, 4)).astype(np.uint64) @ (np.uint64(256) ** np.arange(4, dtype=np.uint64)))
+    keys = far | np.uint64(0x6520 << 32)  # one context of two bytes
+    sizes = np.diff(ctw._by_subtree(keys, 16, 5)[1])
+    assert sizes.sum() == len(keys) and sizes.max() < len(keys) / 2
+    pairs = [(i, t) for i, t in corpus(8, 14, 2) if len(t) < 700]
+    chunks, n = ctw.chunked(docs(spark, pairs), [ctw.F.lit(True).alias("train")], chunk_bytes=300)
+    found = ctw._merged(ctw._asked(chunks, n, 5), n, 5).collect()
+    merged = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in found])
+    want, counts = ctw._gram_counts([ctw._spelt(ctw.words_of(t)) for _, t in pairs], np.ones(len(pairs), bool), 5)
+    assert n > 5 and sorted(merged) == want.tolist()  # each once, however many chunks have it
+    assert sum(np.frombuffer(r["counts"], np.int64).sum() for r in found) == counts.sum()
+
+
+def test_deep_code_lengths_match_the_recursion(spark):
+    pairs = [(i, t) for i, t in corpus(8, 14, 2) if len(t) < 400]
+    got = ctw.scored(docs(spark, pairs), chunk_bytes=300).collect()
+    spelt = {i: b" ".join(t.encode().lower().split()) + b"\n" for i, t in pairs}
+    taught = [x for i, x in spelt.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = dict(zip(spelt, plain_bits(taught, spelt.values(), 5), strict=True))
+    assert all(math.isclose(r.bits_per_byte, want[r.doc_id] / len(spelt[r.doc_id]), rel_tol=1e-5) for r in got)
+
+
 def test_bits_of_all_bytes_sum_to_one():
     text = [t.encode() + b"\n" for _, t in corpus(3, 10, 1)]
     keys, n = ctw._gram_counts(text, np.ones(len(text), bool), 4)
