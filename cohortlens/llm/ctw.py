@@ -321,8 +321,8 @@ def _weighed(merged: DataFrame, buckets: int, depth: int) -> DataFrame:
 
 
 def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
-    """(_chunk, _bucket, said, distinct): 4 bytes for every key, the bits of a gram or the count of a
-    word; the number of distinct training words, told to one chunk of each task."""
+    """(_chunk, _bucket, said, distinct): for every key the bits of a gram in 4 bytes or the count of a
+    word in 8; the number of distinct training words, told to one chunk of each task."""
 
     def down(table: pa.Table, got: pa.Table) -> pa.Table:
         table = table.sort_by([("_bucket", "ascending")])
@@ -341,8 +341,8 @@ def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
             said = np.empty(len(every), np.float32)
             said[_by_subtree(every, buckets, depth)[0]] = _read(got.sort_by([("_sub", "ascending")]), "bits", np.float32)
         else:
-            total = np.bincount(back, _read(table, "counts", np.int64), len(every))
-            said, distinct = np.minimum(total, 0xFFFFFFFF).astype(np.uint32), int((total > 0).sum())
+            said = np.bincount(back, _read(table, "counts", np.int64), len(every)).astype(np.int64)
+            distinct = int((said > 0).sum())
         return pa.table(
             {
                 "_chunk": table["_chunk"], "_bucket": table["_bucket"],
@@ -404,7 +404,7 @@ def scored(df: DataFrame, depth: int = DEPTH, chunk_bytes: int | None = None, tr
         bucket, said = got["_bucket"].to_numpy(), got["said"].to_pylist()
         split = int(np.searchsorted(bucket, buckets))
         lengths = np.frombuffer(b"".join(said[:split]), np.float32).astype(np.float64)
-        counts = np.frombuffer(b"".join(said[split:]), np.uint32).astype(np.float64)
+        counts = np.frombuffer(b"".join(said[split:]), np.int64).astype(np.float64)
         keys, _ = _gram_counts(spelt, learned, depth)
         order, _ = _by_gram(keys, buckets)
         places, bits = Lookup(keys[order]), np.zeros(len(spelt))

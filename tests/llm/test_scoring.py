@@ -156,6 +156,15 @@ def test_deep_code_lengths_match_the_recursion(spark):
     assert all(math.isclose(r.bits_per_byte, want[r.doc_id] / len(spelt[r.doc_id]), rel_tol=1e-5) for r in got)
 
 
+def test_word_counts_beyond_32_bits(spark):
+    top = spark.sparkContext.broadcast(ctw.top_tree(docs(spark, [(1, "a")])))
+    rows = [(4, c, np.array([7, 9 + c], np.uint64).tobytes(), np.array([3_000_000_000, 5]).tobytes()) for c in range(2)]
+    asked = spark.createDataFrame(rows, "_bucket int, _chunk int, keys binary, counts binary")
+    got = {r["_chunk"]: r for r in ctw._answered(asked, top, 4, 5).collect()}
+    assert [np.frombuffer(got[c]["said"], np.int64).tolist() for c in range(2)] == [[6_000_000_000, 5]] * 2
+    assert sum(r["distinct"] for r in got.values()) == 3
+
+
 def test_bits_of_all_bytes_sum_to_one():
     text = [t.encode() + b"\n" for _, t in corpus(3, 10, 1)]
     keys, n = ctw._gram_counts(text, np.ones(len(text), bool), 4)
