@@ -170,7 +170,7 @@ def _gathered(table: pa.Table, said: np.ndarray, buckets: int, length: int, k: i
     if not batches:
         return _table(0, 0, 0, 0, 0, 0, np.empty(0, int), 0, 0, 0, None)
     every = np.concatenate([x[5] for x in batches])
-    keys, back, local = np.unique(every, return_inverse=True, return_counts=True)
+    _, back, local = np.unique(mix(every), return_inverse=True, return_counts=True)  # in the order of keys_of
     times = np.maximum(said, local)[back]
     chunks_with = said[back]
     tables, found = [], []
@@ -307,7 +307,8 @@ def repeated_spans_removed(
     def keys_of(table: pa.Table):
         texts = [(x or "").encode() for x in table["text"].to_pylist()]
         found = [x[5] for x in anchors(texts, length, k, contexts=False)]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64), np.empty(0, np.int64)
+        # minima of many hashes lie at the low end of the key space; mixed, they fill all buckets alike
+        return np.unique(mix(np.concatenate(found))) if found else np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def finish(table: pa.Table, ranges: pa.Table) -> pa.Table:
         table = in_order(table)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cohortlens.llm import jaccard, lpf, sentence_spans
+from cohortlens.llm.common import ask, blocks
 from tests.llm.common import LONG, TEXT, corpus, docs, empty, messy
 
 
@@ -124,6 +125,17 @@ def test_kept_text_has_whole_characters(spark):
     assert by_id[2].kept_text == by_id[2].kept.decode(errors="ignore")
 
 
+def test_anchors_are_asked_about_in_even_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(lpf, "ask", lambda chunks, keys_of, n: (asked.append(keys_of), ask(chunks, keys_of, n))[1])
+    lpf.repeated_spans_removed(docs(spark, corpus(5)))
+    keys, _ = asked[0](pa.table({"doc_id": [1], "text": [LONG]}))
+    sizes = np.diff(blocks(keys, 16))
+    assert sizes.sum() == len(keys) > 500 and sizes.max() < 2 * sizes.mean()
+
+
 def test_suffix_neighbours():
     order = np.array([3, 0, 2, 1])
     same = np.array([False, True, True, False])
