@@ -17,11 +17,11 @@ in the alphabet. Repeated rows and rows without a doc_id are labelled like any o
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,9 +36,10 @@ SWITCH_PENALTY = 12.0
 #: A language uses a script if at least this share of its training letters is of it.
 SCRIPT_SHARE = 0.001
 #: Words whose scores a task keeps, and texts in one recursion.
-TABLE = 300_000
+TABLE = 200_000
 TEXTS = 1_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of any script; number signs such as one half or Roman eight are none.
+_WORD = regex.compile(r"\p{L}+")
 
 #: First letters of blocks of scripts, fixed values of the Unicode standard.
 SCRIPTS = [
@@ -170,10 +171,11 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
         for batch in batches:
             for first in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(first, TEXTS)
+                texts = pa.compute.struct_field(part.column("row"), text_at).cast(pa.string()).to_pylist()
                 if len(known) > TABLE:
                     known, table = {}, table[:0]
                 new, ids, letters = [], [], []
-                for text in part.column("text").to_pylist():
+                for text in texts:
                     found = _WORD.findall((text or "").lower())
                     at = list(map(known.get, found))
                     if None in at:
@@ -191,7 +193,8 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                 made = _labelled(own, ids, letters, table, penalty)
                 yield pa.RecordBatch.from_arrays([part.column("row"), *made], names=["row", "lang_pred", "score", "spans"])
 
-    given = df.select(F.struct("*").alias("row"), F.col("text").cast("string"))
+    given = df.select(F.struct("*").alias("row"))  # the text travels once, inside the row
+    text_at = df.columns.index("text")
     return given.mapInArrow(rows, StructType([given.schema["row"], *StructType.fromDDL(LABELS).fields]))
 
 

@@ -1,6 +1,7 @@
 """Token ids, directly addressable codes and packing: exact round trips."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tests.llm.common import LONG, corpus, docs, empty, messy
 BYTES, WORDS = path_of("byte_bpe_50k.json"), path_of("word_bpe_49k.json")
 ODD = [
     "", " ", "  a  b\n\n c ", "don't stop, it's a 'test'.", "a\xa0b\x85d　e", "Éá İstanbul ΣΑΣ ß é", "x 123 4.5,", "<|endoftext|> y",
+    "<|startoftext|>a<|endoftext|>", "mid<|endoftext|>word b<|ENDOFTEXT|> <|end", "İ. İİ! ÀİÒ. a İ", "a\u0301. E\u0301!", "it's ITS' we'LL 12½³",
     "a\tb\r\nc\x0bd\x0ce", "​zero‍width", "中文 字符。", "a, b.c d!? e.", "²a ½x Ⅷ", "\x1c a\x1fb", "\n", "a\n", " a", "a \nb", "\U0001f600 x", LONG[:3000],
 ]
 
@@ -21,12 +23,25 @@ ODD = [
 @pytest.mark.parametrize(("path", "drops"), [(BYTES, False), (WORDS, True)])
 def test_ids_are_the_library_s(path, drops):
     mine, theirs = Encoder(path, drops), Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
     for text in ODD + [t for _, t in corpus(2)] + ODD:
         want = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == want, text
 
 
+@pytest.mark.parametrize(("path", "drops"), [(BYTES, False), (WORDS, True)])
+def test_ids_of_random_strings(path, drops):
+    """50,000 strings a file over letters, numbers, marks, spaces and special tokens."""
+    rng = random.Random(7)
+    kinds = [
+        "abcXYZ'.,!?;:-", "éßÀÑİıſ½²ªµ·¿", "\u0301\u0307\u0130\u01c5\u0250ΣςЖ中文हिก", " \n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u3000\ufeff\u200b",
+        "0123٣Ⅷ", ["'s", "'LL", " the", "  ", "<|endoftext|>", "<|", "\U0001f600", "e\u0301", "\n\n"],
+    ]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 14))) for _ in range(50_000)]
+    mine, theirs = Encoder(path, drops), Tokenizer.from_file(path)
+    for text, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_full_word_table_is_emptied(monkeypatch):
     monkeypatch.setattr("cohortlens.llm.tokens.TABLE", 3)
     mine, theirs = Encoder(BYTES, False), Tokenizer.from_file(BYTES)
