@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import ctw, dac, jaccard, langid, lpf, packing, quality, sentence_spans, tiling, warc
+from cohortlens.llm import ctw, dac, jaccard, langid, lpf, merkle, packing, quality, sentence_spans, tiling, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.spans_removed(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_feeds())
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -78,9 +82,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op8_quality_rules": quality.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, strlen(payload) AS payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS leader FROM p),
