@@ -103,7 +103,8 @@ def sets_of(df: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> Da
     texts = df.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     on = ["doc_id", "text_key"]
     hot, n_hot = settle(hot_keys(rows.where("doc_id IS NOT NULL").select(*on), on))
-    found = salted_left_join(texts, [wanted], on).where("set_key IS NOT NULL") if n_hot else texts.join(wanted, on)
+    # the wanted classes grow with the rows: never broadcast, the same plan at every size
+    found = salted_left_join(texts, [wanted], on).where("set_key IS NOT NULL") if n_hot else texts.join(wanted.hint("merge"), on)
     found = found.dropDuplicates(on)
 
     def made(batches):
