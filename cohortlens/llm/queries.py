@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import ctw, dac, jaccard, langid, lpf, merkle, minhash, packing, quality, sentence_spans, tiling, warc
+from cohortlens.llm import alignment, ctw, dac, jaccard, langid, lpf, merkle, minhash, packing, quality, sentence_spans, tiling, warc
 from cohortlens.llm.tokens import path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_feeds())
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), path_of("byte_bpe_50k.json"), path_of("piece_bpe_32k.model"))
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_sentence_spans": op10_sentence_spans,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 SQL: dict[str, str] = {

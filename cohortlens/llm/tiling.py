@@ -166,8 +166,8 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
 def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """row (a struct of all columns of the documents), matches (the items with tiles: item_id,
     covered, words, coverage, tiles) and contaminated."""
-    given = df.select(F.struct("*").alias("row"), F.col("text").cast("string"), F.array().cast(f"array<{MATCH}>").alias("matches"))
-    schema, made = given.schema, given
+    given = df.select(F.struct("*").alias("row"), F.array().cast(f"array<{MATCH}>").alias("matches"))  # the text travels once
+    schema, made, text_at = given.schema, given, df.columns.index("text")
     for i, (item_ids, texts) in enumerate(benchmark_blocks(benchmark, block_words)):
         if i:  # a pass over the documents for each block, so no task holds two of them
             made, _ = settle(made)
@@ -177,10 +177,11 @@ def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, perce
             for batch in batches:
                 for first in range(0, batch.num_rows, TEXTS):
                     part = batch.slice(first, TEXTS)
-                    found = _against(shared.value, part.column("text").to_pylist(), min_match)
+                    texts = pa.compute.struct_field(part.column("row"), text_at).cast(pa.string()).to_pylist()
+                    found = _against(shared.value, texts, min_match)
                     before = part.column("matches").to_pylist()
                     both = pa.array([a + b for a, b in zip(before, found, strict=True)], pa.list_(_MATCH))
-                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), both], names=["row", "text", "matches"])
+                    yield pa.RecordBatch.from_arrays([part.column("row"), both], names=["row", "matches"])
 
         made = made.mapInArrow(rows, schema)
     enough = F.exists("matches", lambda m: 100 * m["covered"] >= percent * m["words"])
