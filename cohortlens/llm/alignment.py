@@ -21,6 +21,7 @@ the counts are settled when the plan is built."""
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -178,30 +179,20 @@ def _steps(sizes: list[int], most: int):
         yield begin, len(sizes)
 
 
-ENCODED = (
-    "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, "
-    "a binary, b binary, pairs binary, counts binary"
-)
+ENCODED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary, pairs binary, counts binary"
 
 
 def encoded(df: DataFrame, byte_path: str, piece_path: str, with_groups: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row for each document with its tokens (ids as little-endian unsigned 32-bit integers, 16-bit where both
-    vocabularies are that small), and one for each chunk with its id pairs and their counts."""
+    """A row for each document, its links as numbers of the chunk's id pairs (little-endian, 16 bits each if that
+    is enough for the row, else 32), and one for each chunk with those pairs and their counts."""
 
     def rows(batches):
         left, right, model = byte_side(byte_path), piece_side(piece_path), piece_model(piece_path)
         encode, part = encoder(byte_path, False, True).encode, TaskContext.get().partitionId()
-        kind = np.dtype("<u2") if max(len(left.sizes), len(right.sizes)) <= 1 << 16 else np.dtype("<u4")
-        number, held, sums = part << 32, 0, []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pairs, inverse = np.unique(np.concatenate([p for p, _ in sums]), return_inverse=True)
-            counts = np.zeros(len(pairs), np.int64)
-            np.add.at(counts, inverse, np.concatenate([c for _, c in sums]))
-            return pairs, counts
+        number, held, known, counts = part << 32, 0, {}, np.empty(0, np.int64)
 
         def summary():
-            pairs, counts = merged() if sums else (np.empty(0, np.int64),) * 2
+            pairs = np.fromiter(known, np.int64, len(known))
             return _record({"chunk": [number], "pairs": [pairs.tobytes()], "counts": [counts.tobytes()]})
 
         for batch in batches:
@@ -211,8 +202,8 @@ def encoded(df: DataFrame, byte_path: str, piece_path: str, with_groups: bool =
                 size = sum(map(len, texts[s:e]))
                 if held and held + size > chunk_bytes:
                     yield summary()
-                    number, held, sums = number + 1, 0, []
-                held += size
+                    number, held, known, counts = number + 1, 0, {}, np.empty(0, np.int64)
+                held += size + 1
                 strings = [x.decode() for x in texts[s:e]]
                 a = [np.frombuffer(encode(" " + x), "<u4") if x else np.empty(0, "<u4") for x in strings]
                 b = [np.array(x, "<u4") for x in model.encode(strings, num_threads=1)]
@@ -223,24 +214,28 @@ def encoded(df: DataFrame, byte_path: str, piece_path: str, with_groups: bool =
                 both = Aligned(left, right, np.concatenate(a), np.concatenate(b), np.array([len(x) for x in a]), np.array([len(x) for x in b]))
                 n_groups, groups = both.groups()
                 pairs, upto = both.pairs()
-                sums.append(np.unique(pairs, return_counts=True))
-                if len(sums) > 8:
-                    sums = [merged()]
+                kinds, inverse = np.unique(pairs, return_inverse=True)
+                # a chunk's pairs are numbered as they first occur
+                numbers = np.array([known.setdefault(x, len(known)) for x in kinds.tolist()], np.int64)
+                used = numbers[inverse]
+                counts = np.r_[counts, np.zeros(len(known) - len(counts), np.int64)] + np.bincount(used, minlength=len(known))
+                kind = "<u2" if len(known) <= 1 << 16 else "<u4"
+                made, begins = used.astype(kind), np.r_[0, upto]
                 yield _record(
                     {
                         "chunk": [number] * (e - s), "doc_id": ids[s:e], "n_a": both.n_a, "n_b": both.n_b, "n_groups": n_groups,
-                        "n_links": np.diff(np.r_[0, upto]), "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in groups],
+                        "n_links": np.diff(begins), "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in groups],
                         "groups": [x.decode() for x in groups] if with_groups else None,
-                        "a": [x.astype(kind).tobytes() for x in a], "b": [x.astype(kind).tobytes() for x in b],
+                        "links": [made[x:y].tobytes() for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)],
                     }
                 )
-        if held or sums:
+        if held:
             yield summary()
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, ENCODED)
 
 
-_KINDS = {"groups_sha256": pa.string(), "groups": pa.string()} | {c: pa.binary() for c in ("a", "b", "pairs", "counts")}
+_KINDS = {"groups_sha256": pa.string(), "groups": pa.string()} | {c: pa.binary() for c in ("links", "pairs", "counts")}
 
 
 def _record(columns: dict) -> pa.RecordBatch:
@@ -252,17 +247,18 @@ def _record(columns: dict) -> pa.RecordBatch:
 
 
 def pair_counts(stored: DataFrame) -> DataFrame:
-    """(chunk, pair, n): the id pairs of every chunk."""
+    """(chunk, number, pair, n): the id pairs of every chunk."""
 
     def rows(batches):
         for batch in batches:
             for chunk, pairs, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "pairs", "counts")), strict=True):
                 found = np.frombuffer(pairs, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(np.frombuffer(counts, np.int64))], names=["chunk", "pair", "n"]
+                    [pa.array(np.full(len(found), chunk)), pa.array(np.arange(len(found))), pa.array(found), pa.array(np.frombuffer(counts, np.int64))],
+                    names=["chunk", "number", "pair", "n"],
                 )
 
-    return stored.where("pairs IS NOT NULL").select("chunk", "pairs", "counts").mapInArrow(rows, "chunk long, pair long, n long")
+    return stored.where("pairs IS NOT NULL").select("chunk", "pairs", "counts").mapInArrow(rows, "chunk long, number long, pair long, n long")
 
 
 def aligned(df: DataFrame, byte_path: str, piece_path: str, with_groups: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -274,27 +270,24 @@ def aligned(df: DataFrame, byte_path: str, piece_path: str, with_groups: bool =
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     highest = counts.groupBy(b_id.alias("b_id")).agg(F.max("count").alias("highest"))
     judged = counts.withColumn("b_id", b_id).join(highest, "b_id").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    told = salted_left_join(asked.select("chunk", "pair"), [judged], ["pair"])
+    told = salted_left_join(asked.select("chunk", "number", "pair"), [judged], ["pair"]).select("chunk", "number", "count", "best")
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
-        left, right = byte_side(byte_path), piece_side(piece_path)
-        kind = "<u2" if max(len(left.sizes), len(right.sizes)) <= 1 << 16 else "<u4"
-        got = got.sort_by([("pair", "ascending")])
-        pairs, count, best = got["pair"].to_numpy(), got["count"].to_numpy(), got["best"].to_numpy(zero_copy_only=False).astype(np.int64)
-        n_a, n_b = table["n_a"].to_numpy(), table["n_b"].to_numpy()
-        blobs_a, blobs_b = table["a"].to_pylist(), table["b"].to_pylist()
-        n_best, count_sum = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
-        for s, e in _steps([len(x) for x in blobs_a], STEP_BYTES):
-            a, b = np.frombuffer(b"".join(blobs_a[s:e]), kind), np.frombuffer(b"".join(blobs_b[s:e]), kind)
-            found, upto = Aligned(left, right, a, b, n_a[s:e], n_b[s:e]).pairs()
-            at = np.searchsorted(pairs, found)
-            for out, values in ((n_best, best), (count_sum, count)):
-                out[s:e] = np.diff(np.r_[0, np.r_[0, np.cumsum(values[at])][upto]])
+        got = got.sort_by([("number", "ascending")])
+        count, best = got["count"].to_numpy(), got["best"].to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, blobs = table["n_links"].to_pylist(), table["links"].to_pylist()
+        n_best, count_sum = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for i, (n, blob) in enumerate(zip(sizes, blobs, strict=True)):
+            if n:
+                used = np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4")
+                n_best[i], count_sum[i] = best[used].sum(), count[used].sum()
         table = table.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
         return table.select(names)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     docs = stored.where("pairs IS NULL").drop("pairs", "counts", *([] if with_groups else ["groups"]))
+    # two chunks a task, however many there are
+    docs = docs.repartition(max(1, math.ceil(stored.where("pairs IS NOT NULL").count() / 2)), "chunk")
     return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema + (", groups string" if with_groups else ""))
