@@ -15,7 +15,7 @@ from checks import bindings as b
 from checks.bindings import with_tables
 from cohortlens.fixed import IMD_ORDER, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
-from cohortlens.operators import bands, encode, features, metrics, models, sampling, select, stats, summaries
+from cohortlens.operators import as_of, bands, encode, features, metrics, models, sampling, select, stats, summaries
 from cohortlens.operators.scale import settle, shared_folder
 from cohortlens.plans import master as plans
 from cohortlens.plans.reports import reports
@@ -207,6 +207,43 @@ def late_submissions(spark, d):
     )
 
 
+AS_OF = (7, 14, 21, 30, 60, 100, 200)
+_CUTS = "cuts AS (SELECT unnest([7, 14, 21, 30, 60, 100, 200]) AS as_of)"
+
+
+@query("as_of_features", with_tables("clicks sites scored registrations", f"""
+    , {_CUTS},
+    c AS (SELECT id_student, as_of, sum(sum_click) FILTER (date <= as_of) AS total_clicks,
+        count(DISTINCT date) FILTER (date <= as_of) AS active_days, stddev_samp(sum_click) FILTER (date <= as_of) AS click_std,
+        count(DISTINCT activity_type) FILTER (date <= as_of) AS unique_activity_types, max(date) FILTER (date <= as_of) AS last_active_day
+      FROM clicks LEFT JOIN sites USING (id_site) CROSS JOIN cuts GROUP BY id_student, as_of),
+    s AS (SELECT id_student, as_of, avg(score) FILTER (date_submitted <= as_of) AS avg_assessment_score,
+        stddev_samp(score) FILTER (date_submitted <= as_of) AS score_std, count(id_assessment) FILTER (date_submitted <= as_of) AS num_assessments_submitted,
+        avg(score) FILTER (date_submitted <= as_of AND assessment_type = 'TMA') AS tma_avg_score,
+        avg(score) FILTER (date_submitted <= as_of AND assessment_type = 'Exam') AS exam_avg_score,
+        count(*) FILTER (date_submitted <= as_of AND date_submitted > due) AS late_submissions
+      FROM scored CROSS JOIN cuts GROUP BY id_student, as_of),
+    r AS (SELECT id_student, as_of, count(*) FILTER (coalesce(TRY_CAST(date_registration AS DOUBLE) <= as_of, TRUE)) AS num_modules_registered,
+        max(CASE WHEN TRY_CAST(date_unregistration AS DOUBLE) <= as_of THEN 1 ELSE 0 END) AS withdrew,
+        coalesce(min(TRY_CAST(date_unregistration AS DOUBLE)) FILTER (TRY_CAST(date_unregistration AS DOUBLE) <= as_of), 999) AS withdrawal_day,
+        max(CASE WHEN TRY_CAST(date_unregistration AS DOUBLE) <= least(as_of, 30) THEN 1 ELSE 0 END) AS early_withdraw
+      FROM registrations CROSS JOIN cuts GROUP BY id_student, as_of)
+    SELECT {n("id_student")}, {n("as_of")}, {r("coalesce(total_clicks, 0)", "total_clicks")}, {n("coalesce(active_days, 0)", "active_days")},
+      {r("coalesce(click_std, 0)", "click_std")}, {n("coalesce(unique_activity_types, 0)", "unique_activity_types")},
+      {n("coalesce(last_active_day, 0)", "last_active_day")}, {r("coalesce(avg_assessment_score, 0)", "avg_assessment_score")},
+      {r("coalesce(score_std, 0)", "score_std")}, {n("coalesce(num_assessments_submitted, 0)", "num_assessments_submitted")},
+      {r("coalesce(tma_avg_score, 0)", "tma_avg_score")}, {r("coalesce(exam_avg_score, 0)", "exam_avg_score")},
+      {n("coalesce(late_submissions, 0)", "late_submissions")}, {n("coalesce(num_modules_registered, 0)", "num_modules_registered")},
+      {n("coalesce(withdrew, 0)", "withdrew")}, {r("coalesce(withdrawal_day, 0)", "withdrawal_day")}, {n("coalesce(early_withdraw, 0)", "early_withdraw")}
+    FROM c FULL JOIN s USING (id_student, as_of) FULL JOIN r USING (id_student, as_of)"""))
+def as_of_features(spark, d):
+    tables = {
+        "studentVle": b.clicks(spark, d), "vle": b.sites(spark, d), "studentAssessment": b.submissions(spark, d),
+        "assessments": b.assessments(spark, d), "studentRegistration": b.registrations(spark, d),
+    }
+    return as_of.as_of_features(tables, AS_OF)
+
+
 @query("registration_features", with_tables(
     "registration_features", f"SELECT {_REG_COLUMNS} FROM registration_features"))
 def registration_features(spark, d):

@@ -6,11 +6,12 @@ map side, so a key with very many rows reaches its reducer as a few partial rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.fixed import CATEGORIES, DAY_CUTOFFS, EARLY_DAY, NEVER_WITHDREW, RESULT_CODES, SCORE_KINDS
 from cohortlens.functions.expressions import flag, label_code, number
+from cohortlens.operators.as_of import bits_of, cells, click_cells, deviation, total_of, with_mean
 from cohortlens.operators.encode import rank_encode
 from cohortlens.operators.scale import salted_left_join
 
@@ -28,29 +29,33 @@ def click_features(
 ) -> DataFrame:
     """Totals, active days, totals up to each cut-off day, deviation, activity types, last day.
 
-    The distinct counts are aggregates of their own: their shuffle carries (key, value) pairs
-    only, and the sums reach the reducers as one row per key and task."""
-    known = clicks.where(F.col(key).isNotNull())
-    early = [
-        F.coalesce(F.sum(F.when(F.col(day) <= d, F.col(measure))), F.lit(0)).alias(f"clicks_day{d}")
-        for d in cutoffs
-    ]
-    totals = known.groupBy(key).agg(
-        F.coalesce(F.sum(measure), F.lit(0)).alias("total_clicks"),
-        *early,
-        F.coalesce(F.stddev_samp(measure), F.lit(0.0)).alias("click_std"),
-        F.max(day).alias("last_active_day"),
+    The log is read once and exchanged once, as cells of 64 days (``operators.as_of``): distinct days and
+    types are bits of whole numbers there. With more types than words of bits hold, they are counted on their own."""
+    cuts = tuple(sorted(set(cutoffs)))
+    made = click_cells(clicks, sites, key=key, site=site, day=day, measure=measure, activity=activity, cutoffs=cuts)
+    held, n_words = made if made is not None else (cells(clicks, key, day, cuts, measure), 0)
+    entries = F.col("cells")
+    # whole numbers stay whole
+    kind = "long" if clicks.schema[measure].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
+
+    def up_to(d: int) -> Column:
+        return total_of(F.filter(entries, lambda x: x["slot"] <= cuts.index(d)), lambda x: x["total"], kind)
+
+    types = sum([bits_of(entries, f"word{i}") for i in range(n_words)], F.lit(0)).cast("long").alias("unique_activity_types")
+    features = with_mean(held).select(
+        F.col("_key").alias(key),
+        total_of(entries, lambda x: x["total"], kind).alias("total_clicks"),
+        total_of(entries, lambda x: F.bit_count(x["days"])).alias("active_days"),
+        *[up_to(d).alias(f"clicks_day{d}") for d in cutoffs],
+        deviation(entries).alias("click_std"),
+        *([types] if sites is not None and made is not None else []),
+        F.array_max(F.transform(entries, lambda x: x["last"])).alias("last_active_day"),
     )
-    features = totals.join(active_days(clicks, key=key, day=day), key, "left")
-    types = []
-    if sites is not None:
+    if made is None:
         found = activity_types(clicks, sites, key=key, site=site, activity=activity)
-        features = features.join(found, key, "left")
-        types = found.columns[1:]
-    cut = [f"clicks_day{d}" for d in cutoffs]
-    return features.select(
-        key, "total_clicks", "active_days", *cut, "click_std", *types, "last_active_day"
-    )
+        last = features.columns[-1]
+        features = features.join(found, key, "left").select(*features.columns[:-1], "unique_activity_types", last)
+    return features
 
 
 def active_days(clicks: DataFrame, *, key: str = "id_student", day: str = "date") -> DataFrame:
