@@ -123,7 +123,8 @@ def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     _, n_hot = settle(buckets.where(F.col("size") > HOT_ROWS).select("key"))
     if n_hot:
         return salted_left_join(rows, [buckets], ["key"]).where("size IS NOT NULL")
-    return rows.join(buckets, "key")
+    # buckets grow with the rows: never broadcast, the same plan at every size
+    return rows.join(buckets.hint("merge"), "key")
 
 
 def stars(classes: DataFrame) -> DataFrame:
