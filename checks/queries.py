@@ -15,7 +15,7 @@ from checks import bindings as b
 from checks.bindings import with_tables
 from cohortlens.fixed import IMD_ORDER, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
-from cohortlens.operators import as_of, bands, encode, features, metrics, models, sampling, select, stats, summaries
+from cohortlens.operators import as_of, bands, distinct, encode, features, metrics, models, sampling, select, stats, summaries
 from cohortlens.operators.scale import settle, shared_folder
 from cohortlens.plans import master as plans
 from cohortlens.plans.reports import reports
@@ -437,6 +437,29 @@ def daily_unique(spark, d):
     return summaries.daily_series(b.clicks(spark, d), entity="id_student", name="total_clicks")
 
 
+@query("daily_incremental", with_tables("clicks", f"""
+    SELECT {n('date')}, {n('sum(sum_click)', 'clicks')}, {n('count(DISTINCT id_student)', 'unique_students')} FROM clicks GROUP BY date"""))
+def daily_incremental(spark, d):
+    """The daily series from a stored state that four deliveries of the log were merged into, one by one."""
+    log, stored = b.clicks(spark, d), None
+    for i in range(4):
+        new = log.where(F.pmod(F.xxhash64("id_student", "id_site", "sum_click"), F.lit(4)) == i)
+        state = distinct.distinct_state(new, ["date"], "id_student", {"clicks": "sum_click"})
+        stored, _ = settle(state if stored is None else distinct.merged_states([stored, state], ["date"], ["clicks"]))
+    return distinct.from_state(stored, ["date"], "unique_students", ["clicks"])
+
+
+@query("daily_sketched", with_tables("clicks", f"""
+    SELECT {n('date')}, {n('count(DISTINCT id_student)', 'unique_students')}, CAST(1 AS BIGINT) AS within_bound FROM clicks GROUP BY date"""))
+def daily_sketched(spark, d):
+    """Distinct learners of a day from sketches by day and site, held against the exact count."""
+    log = b.clicks(spark, d)
+    estimate = distinct.sketched_counts(distinct.distinct_sketches(log, ["date", "id_site"], "id_student"), ["date"], "estimate")
+    exact = log.groupBy("date").agg(F.count_distinct("id_student").alias("unique_students"))
+    apart = F.abs(F.col("estimate") - F.col("unique_students")) <= distinct.error_bound() * F.col("unique_students")
+    return exact.join(estimate, "date").select("date", "unique_students", apart.alias("within_bound"))
+
+
 @query("result_summary", with_tables("enrolments", """
     SELECT gender, age_band, highest_education, final_result, count(*) AS count,
            CAST(CASE WHEN final_result IN ('Pass', 'Distinction') THEN 1 ELSE 0 END AS BIGINT) AS pass_flag
