@@ -302,3 +302,12 @@ def test_rules_on_awkward_rows(spark):
     assert len(got) == 16
     assert {(r.n_words, r.kept) for r in got if r.doc_id in (2, 3, 5)} == {(0, False)}
     assert quality.quality(empty(spark)).collect() == []
+
+
+def test_number_signs_are_no_letters(spark):
+    pairs = [(i, TEXT if i % 2 else OTHER, "en" if i % 2 else "de") for i in range(1, 41)]
+    pairs += [(100, "½", None), (101, "²³", None), (102, "Ⅷ 12", None), (103, "½ " + TEXT, None)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(df).collect()}
+    assert [got[i] for i in (100, 101, 102)] == [("und", 0.0)] * 3
+    assert got[103] == ("en", 1.0)
