@@ -15,8 +15,9 @@ from checks import bindings as b
 from checks.bindings import with_tables
 from cohortlens.fixed import IMD_ORDER, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
-from cohortlens.operators import as_of, bands, distinct, encode, features, metrics, models, sampling, select, stats, summaries
-from cohortlens.operators.scale import settle, shared_folder
+from cohortlens.operators import as_of, bands, distinct, encode, features, metrics, models, quantile_sketches, sampling
+from cohortlens.operators import select, stats, summaries
+from cohortlens.operators.scale import attach, settle, shared_folder
 from cohortlens.plans import master as plans
 from cohortlens.plans.reports import reports
 from cohortlens.sources import readers, sinks
@@ -652,6 +653,22 @@ def box_stats(spark, d):
     return stats.box_stats(rows, "final_result", "avg_assessment_score")
 
 
+@query("merged_quantiles", with_tables("clicks", f"""
+    SELECT id_site, count(sum_click) AS n_values, CAST(3 AS BIGINT) AS within_bound FROM clicks GROUP BY id_site"""))
+def merged_quantiles(spark, d):
+    """Quartiles of each site's clicks from sketches by day and site: how many of the three lie within the bound?"""
+    log = b.clicks(spark, d)
+    sketches, _ = settle(quantile_sketches.quantile_sketches(log, ["date", "id_site"], "sum_click"))
+    found = quantile_sketches.sketched_quantiles(sketches, ["id_site"], stats.QUARTILES)
+    placed = attach(log.where("sum_click IS NOT NULL"), found, ["id_site"])
+    e, x, total = quantile_sketches.rank_error_bound(), F.col("sum_click"), F.count("sum_click")
+    within = [
+        ((F.count_if(x < F.col(name)) <= (q + e) * total) & (F.count_if(x <= F.col(name)) >= (q - e) * total)).cast("int")
+        for name, q in stats.QUARTILES.items()
+    ]
+    return placed.groupBy("id_site").agg(total.alias("n_values"), sum(within, F.lit(0)).alias("within_bound"))
+
+
 # Row selections.
 
 @query("filter_in", with_tables("enrolments", f"SELECT {_columns(_INFO)} FROM enrolments WHERE {_KEPT}"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import all_present, round_even
+from cohortlens.operators.quantile_sketches import quantile_sketches, sketched_quantiles
 from cohortlens.operators.scale import attach, attach_settled, quantiles, settle, settled_quantiles
 from cohortlens.operators.summaries import enrolment_counts
 
@@ -71,16 +72,26 @@ def histogram(
     )
 
 
-def trim_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Rows strictly below the q-quantile of the column."""
-    bound = quantiles(df, [], column, {"bound": q}).scalar()
+def _points(df: DataFrame, by: list[str], column: str, points: dict[str, float], sketch: int | None) -> DataFrame:
+    """Exact quantiles, or those of rank sketches of the given size."""
+    if sketch is None:
+        return quantiles(df, by, column, points)
+    return sketched_quantiles(quantile_sketches(df, by, column, sketch), by, points, sketch)
+
+
+def trim_quantile(df: DataFrame, column: str, q: float, sketch: int | None = None) -> DataFrame:
+    """Rows strictly below the q-quantile of the column. With ``sketch`` the quantile is that of a rank sketch
+    of this size, within ``rank_error_bound(sketch)`` of q, settled so that a rerun keeps the same rows."""
+    found = _points(df, [], column, {"bound": q}, sketch)
+    bound = (found if sketch is None else settle(found)[0]).scalar()
     return df.where(F.col(column) < bound)
 
 
-def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers."""
+def box_stats(df: DataFrame, by: str, column: str, sketch: int | None = None) -> DataFrame:
+    """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers. With ``sketch`` the
+    quartiles are those of rank sketches of this size; counts, whiskers and outliers are exact for them."""
     rows = df.where(all_present([by, column])).select(by, F.col(column).cast("double").alias("_x"))
-    placed = attach(rows, quantiles(rows, [by], "_x", QUARTILES), [by])
+    placed = attach(rows, _points(rows, [by], "_x", QUARTILES, sketch), [by])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x, inside_low, inside_high = F.col("_x"), F.col("q1") - reach, F.col("q3") + reach
     return placed.groupBy(by).agg(
