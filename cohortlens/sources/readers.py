@@ -11,20 +11,30 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlens.fixed import MISSING_TOKENS, RESULT_CODES
 from cohortlens.functions.expressions import label_code
+from cohortlens.sources.records import quoted_cells
 from cohortlens.sources.schemas import LOGS, SCHEMAS
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True, bad_cells: str = "stop"
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    multi_line: bool = True,
+    bad_cells: str = "stop",
+    split: bool | None = None,
 ) -> DataFrame:
     """CSV with a header. Columns are found by header name, missing-value tokens are NULL. A cell
     that its declared type cannot hold stops the read; with ``bad_cells`` "null" it is NULL. With
-    ``multi_line`` a quoted cell may hold line breaks, and a file is read by one task; without it
-    files are split, which suits logs of codes and numbers."""
+    ``multi_line`` a quoted cell may hold line breaks: a file is read by one task, or, with ``split``, by one
+    task per block and one shuffle of its lines (``records``; same cells); by default files are split where one is
+    larger than a block. Without ``multi_line`` files are split at every line, which suits logs of codes and numbers."""
     header = spark.read.option("header", True).option("enforceSchema", False)
     found = header.option("multiLine", multi_line).csv(path).columns
     texts = StructType([StructField(name, StringType()) for name in found])
-    rows = header.schema(texts).option("escape", '"').option("multiLine", multi_line).csv(path)
+    if multi_line and (larger_than_a_block(spark, path) if split is None else split):
+        rows = quoted_cells(spark, path, found)
+    else:
+        rows = header.schema(texts).option("escape", '"').option("multiLine", multi_line).csv(path)
     declared = {field.name: field.dataType for field in schema.fields}
     cells = []
     for name in found:
@@ -33,6 +43,12 @@ def read_csv(
     return rows.select(*cells)
 
 
+def larger_than_a_block(spark: SparkSession, path: str) -> bool:
+    """Is one of the files larger than what one task should read? Only file lengths are looked at."""
+    block = F.expr(f"CAST({spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()} AS BIGINT)")
+    return not spark.read.format("binaryFile").load(path).where(F.col("length") > block).select("length").isEmpty()
+
+
 def _cell(name, text, data_type, bad_cells):
     if data_type.typeName() == "string":
         return text
