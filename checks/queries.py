@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.bindings import with_tables
-from cohortlens.fixed import IMD_ORDER, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
+from cohortlens.fixed import CATEGORIES, FORM_FEATURES, IMD_ORDER, MEASURES, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
 from cohortlens.operators import as_of, bands, distinct, encode, features, metrics, models, quantile_sketches, sampling
 from cohortlens.operators import select, stats, summaries
@@ -129,6 +132,44 @@ def csv_roundtrip(spark, d):
     return readers.read_table(spark, f"{path}-absent", made.schema, fallbacks=(path,))
 
 
+@query("csv_split_scan", with_tables("enrolments", """
+    SELECT enrolment, region || chr(10) || '"' || gender || '",' || chr(10) AS region, imd_band FROM enrolments"""))
+def csv_split_scan(spark, d):
+    """Cells with line breaks, quotes and commas, written and read by many tasks."""
+    text = F.concat("region", F.lit('\n"'), "gender", F.lit('",\n')).alias("region")
+    made = b.enrolments(spark, d).select("enrolment", text, "imd_band")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_table(made, path, "csv")
+    return readers.read_csv(spark, path, made.schema, split=True)
+
+
+@query("stored_master", with_tables("joined", f"SELECT {n('target')}, count(*) AS n_rows FROM joined GROUP BY target"))
+def stored_master(spark, d):
+    """The feature table from the second of two folders, its target made on reading."""
+    folder = f"{shared_folder(spark)}/master-{uuid.uuid4().hex}"
+    sinks.write_table(b.joined(spark, d, "").drop("target"), f"{folder}/b/master")
+    return readers.read_master(spark, [f"{folder}/a", f"{folder}/b"]).groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_LISTED = [c for c in [f"{c}_enc" for c in CATEGORIES] + MEASURES if c in _MASTER]
+
+
+@query("feature_list", with_tables("master", " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS name, CAST({int(c in FORM_FEATURES)} AS BIGINT) AS in_form, count({c}) AS n_values FROM master"
+    for i, c in enumerate(_LISTED))))
+def feature_list(spark, d):
+    """The list of features written, read back for the columns that are there, and their values counted."""
+    rows, _ = settle(b.master(spark, d))
+    path = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    sinks.write_names(spark, [*models.feature_names(rows), "absent"], path)
+    names, form = sinks.read_names(spark, path, rows), models.form_features(rows)
+    lines = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.lit(c in form).alias("in_form"), F.col(f"_{c}").alias("n_values"))
+        for i, c in enumerate(names)
+    ]))
+    return rows.agg(*[F.count(c).alias(f"_{c}") for c in names]).select(lines.alias("_line")).select("_line.*")
+
+
 @query("report_tables", with_tables("master clicks scored", """
     SELECT 'Master_Data' AS table_name, count(*) AS n_rows, CAST(42 AS BIGINT) AS n_cols FROM master
     UNION ALL SELECT 'Result_Summary', count(*), 6 FROM (SELECT DISTINCT gender, age_band, highest_education, final_result FROM master)
@@ -894,10 +935,78 @@ def score_scenarios(spark, d):
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    """Five folds of the linear model; ``plans.batch`` runs them for every model."""
+    """Five folds of each model: of the linear one over all rows, of the others over FIT_ROWS rows."""
     stored, names = _input(spark, d)
-    mean = models.cross_validate(stored, names, models.BATCH_MODELS["Logistic Regression"], b.KEY)
-    return stored.agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.lit(mean)).alias("cv_accuracy"))
+    some, _ = settle(sampling.sample_n(stored, FIT_ROWS, key=b.KEY))
+    lines = []
+    for name, settings in models.BATCH_MODELS.items():
+        rows = stored if settings["kind"] == "linear" else some
+        lines.append((name, rows.count(), models.cross_validate(rows, names, settings, b.KEY)))
+    return spark.createDataFrame(lines, "model string, n_rows long, cv_accuracy double")
+
+
+_EACH_MODEL = "(SELECT unnest([" + ", ".join(f"'{name}'" for name in models.BATCH_MODELS) + "]) AS model)"
+
+
+@query("model_facts", with_tables("joined", f"""
+    , t AS (SELECT target, count(*) AS c, {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_rows")} FROM joined GROUP BY target)
+    SELECT 'test' AS part, model, {n("target", "label")}, n_rows, n_rows AS n_in_range, n_rows AS n_class_follows FROM t, {_EACH_MODEL}
+    UNION ALL SELECT 'scenario', model, NULL, CAST(sum(c) AS BIGINT), CAST(sum(c) AS BIGINT), CAST(sum(c) AS BIGINT)
+    FROM t, {_EACH_MODEL} GROUP BY model"""))
+def model_facts(spark, d):
+    """What holds of every model: a score for each test row and each what-if case, in range, from which the class
+    and the verdict follow; shares of passing and failing add up."""
+    fitted, tagged, names = _trained(spark, d, list(models.BATCH_MODELS))
+    sums = {"n_rows": F.count(F.lit(1)), "n_in_range": F.count_if("_in_range"), "n_class_follows": F.count_if("_follows")}
+    sums = [made.alias(name) for name, made in sums.items()]
+    parts = []
+    for name, model in fitted.items():
+        held = models.predict(model, tagged.where("is_test"), ["label"]).select(
+            F.col("label").cast("long").alias("label"), F.col("score").between(0, 1).alias("_in_range"),
+            ((F.col("prediction") == 1) == (F.col("score") > 0.5)).alias("_follows"),
+        )
+        parts.append(held.groupBy("label").agg(*sums).select(F.lit("test").alias("part"), F.lit(name).alias("model"), "*"))
+    cases = tagged.withColumnRenamed("enrolment", "scenario").drop("late_submissions", "click_std")
+    shares_add_up = F.abs(F.col("pass_pct") + F.col("risk_pct") - 100) <= 0.11
+    passes = (F.col("prediction") == 1) & (F.col("verdict") == "Pass") & (F.col("pass_pct") >= 50)
+    fails = (F.col("prediction") == 0) & (F.col("verdict") == "At Risk") & (F.col("pass_pct") <= 50)
+    told = models.score_scenarios(fitted, cases, names).select(
+        "model", (F.col("pass_pct").between(0, 100) & shares_add_up).alias("_in_range"), (passes | fails).alias("_follows")
+    )
+    by_case = told.groupBy("model").agg(*sums)
+    parts.append(by_case.withColumn("part", F.lit("scenario")).withColumn("label", F.lit(None).cast("long")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_GAPS = {"credits": "CASE WHEN enrolment % 7 <> 0 THEN studied_credits END", "tries": "CASE WHEN id_student % 5 <> 0 THEN num_of_prev_attempts END"}
+
+
+@query("imputed_vectors", with_tables("enrolments", "SELECT enrolment, " + ", ".join(
+    r(f"coalesce({c}, avg({c}) OVER ())", c) for c in _GAPS) + " FROM (SELECT enrolment, " + ", ".join(
+    f"{made} AS {c}" for c, made in _GAPS.items()) + " FROM enrolments)"))
+def imputed_vectors(spark, d):
+    """Missing cells filled with the mean of their column, and the vector that a model sees, entry by entry."""
+    rows, _ = settle(b.enrolments(spark, d).selectExpr("enrolment", *[f"CAST({made} AS DOUBLE) AS {c}" for c, made in _GAPS.items()]))
+    steps = models.make_pipeline(list(_GAPS), {"kind": "forest"}, rows.count()).getStages()[:-1]
+    made = Pipeline(stages=steps).fit(rows).transform(rows).withColumn("_entries", vector_to_array("features"))
+    return made.select("enrolment", *[F.col("_entries")[i].alias(c) for i, c in enumerate(_GAPS)])
+
+
+@query("stored_model", with_tables("joined", f"""
+    SELECT {n("target", "label")}, {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_rows")},
+           {n(f"floor(count(*) * {TEST_SHARE} + 0.5)", "n_same")} FROM joined GROUP BY target"""))
+def stored_model(spark, d):
+    """A model saved, found again as the best one, and its predictions beside those of the fitted one."""
+    name = "Logistic Regression"
+    fitted, tagged, _ = _trained(spark, d, [name])
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    sinks.save_models(fitted, folder)
+    sinks.write_best(spark, name, folder)
+    test = tagged.where("is_test").withColumn("label", F.col("label").cast("long"))
+    first = models.predict(fitted[name], test).withColumnsRenamed({"prediction": "_class", "score": "_score"})
+    again = models.predict(sinks.load_best(spark, folder)[1], first, ["label", "_class", "_score"])
+    same = (F.col("prediction") == F.col("_class")) & (F.col("score") == F.col("_score"))
+    return again.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_same"))
 
 
 @query("split_rows", with_tables("joined", f"""

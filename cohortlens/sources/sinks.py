@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # white space at either end of a cell is part of it
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer = writer.options(header=True, escape='"', **kept)
     writer.format(fmt).save(path)
 
 

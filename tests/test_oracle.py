@@ -6,8 +6,8 @@ from checks.compare import differences, oracle
 from checks.queries import QUERIES, SQL
 from tests.conftest import DATA
 
-# Model queries without SQL have their own tests; here they would only cost time.
-SLOW = {"train_compare", "importance", "predict", "score_scenarios", "cross_validate"}
+# Model queries without SQL have their own tests; here they and the one that fits all models would only cost time.
+SLOW = {"train_compare", "importance", "predict", "score_scenarios", "cross_validate", "model_facts"}
 
 
 @pytest.fixture(scope="module")

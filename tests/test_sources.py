@@ -118,7 +118,7 @@ def test_a_cell_that_does_not_fit_stops_the_read(spark, tmp_path, cell):
 
 
 def test_quoted_line_breaks_come_back(spark, rows, tmp_path):
-    given = spark.createDataFrame([("a\nb", 'q"x', 1), ("c,d", None, 2)], "region string, gender string, id_student long")
+    given = spark.createDataFrame([("a\nb", 'q"x', 1), ("c,d", None, 2), (" e\n", "\tf ", 3)], "region string, gender string, id_student long")
     sinks.write_table(given, str(tmp_path / "t"), "csv")
     made = readers.read_csv(spark, str(tmp_path / "t"), SCHEMAS["studentInfo"])
     assert rows(made.select(*given.columns), "id_student") == rows(given, "id_student")
