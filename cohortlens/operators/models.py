@@ -39,8 +39,8 @@ INTERACTIVE_MODELS = {
         "maxBins": 255, "minInstancesPerNode": 20,
     },
 }
-# Fits that run side by side: the folds of a model in one go.
-PARALLEL_FITS = 5
+# Fits that run side by side.
+PARALLEL_FITS = 4
 # Click deviation assumed for a what-if learner, as a share of the early clicks.
 DEVIATION_SHARE = 0.3
 
