@@ -1,10 +1,9 @@
 """Suffix-array dedup: removes every byte covered by a string of 100 bytes that starts earlier too.
 
-A byte position is removed through the longest previous factor (LPF) of a suffix: if the suffix
-that starts there shares 100 bytes or more with one that starts earlier, its first 100 bytes go.
-In suffix order the earlier suffix that shares most is the previous or the next one with a smaller
-position, so a run of suffixes that agree in 100 bytes keeps only the one without smaller
-neighbours, the first.
+The longest previous factor (LPF) of a suffix is the most bytes it shares with one that starts
+earlier: where it reaches 100, the suffix's first 100 bytes go. In suffix order the earlier suffix
+that shares most is the previous or the next one with a smaller position, so two searches over that
+order give all LPFs (``longest_previous``).
 
 A suffix array over all texts would move many times their size. Three steps make it sparse:
 
@@ -17,11 +16,12 @@ A suffix array over all texts would move many times their size. Three steps make
 3. Suffix order. The different contexts of one anchor meet in one task. The suffixes that start at
    the anchors are sorted by their bytes; the order of the suffixes that start one byte earlier
    follows from it by one stable sort on that byte, and so on leftwards. In every such order the
-   runs that agree in 100 bytes are told by fingerprints, and previous and next smaller positions
-   mark what goes.
+   lengths that neighbours share are compared byte for byte, 100 at most, and previous and next
+   smaller positions give the LPFs; a string goes where its LPF is 100.
 
 An anchor in more than ``hot_chunks`` chunks may have any number of contexts. Its strings are dealt
-one by one on their fingerprint instead, so that no task gets them all; the same rule marks them.
+one by one on the fingerprint of their 100 bytes instead, each at most once by a chunk: what meets is a run that
+shares them all, of which every string but the first has a smaller position before it.
 
 Order of documents: doc_id, then text; rows without a doc_id come last. Texts that are null are
 empty; texts shorter than the length are kept. Repeated rows are documents of their own: the first
@@ -194,27 +194,77 @@ def _gathered(table: pa.Table, said: np.ndarray, buckets: int, length: int, k: i
     tables.append(
         _table(key[cold] % U64(buckets), CONTEXT, key[cold], context[cold], owners[doc[cold]], chunk, doc[cold], s[cold], e[cold], m[cold], ctx)
     )
+    single = []
     for i in np.unique(batch[is_hot]):
         some = np.flatnonzero(is_hot & (batch == i))
         width = hi[some] - lo[some] + 1
         start = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo[some], width)
         which = np.repeat(some, width)
-        fp = Fingerprints(batches[i][0]).of(start, start + length)
-        s1 = start - base[which]
-        tables.append(_table(fp % U64(buckets), STRING, key[which], fp, owners[doc[which]], chunk, doc[which], s1, s1 + length, 0, None))
+        single.append((which, start - base[which], Fingerprints(batches[i][0]).of(start, start + length)))
+    if single:
+        which, start, fp = (np.concatenate(x) for x in zip(*single, strict=True))
+        later = _later([fp, key[which]])
+        r_doc, r_s, r_e = _ranges(doc[which[later]], start[later], start[later] + length)
+        tables.append(_table(r_s % buckets, RANGE, 0, 0, 0, chunk, r_doc, r_s, r_e, 0, None))
+        which, start, fp = which[~later], start[~later], fp[~later]
+        tables.append(_table(fp % U64(buckets), STRING, key[which], fp, owners[doc[which]], chunk, doc[which], start, start + length, 0, None))
     return pa.concat_tables(tables)
 
 
-def smaller_neighbours(order: np.ndarray, same: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """For suffixes in suffix order, same[i] telling whether i and i - 1 agree far enough: whether
-    the run of agreeing suffixes holds a previous or next one with a smaller position."""
-    starts = np.flatnonzero(~same)
-    run = np.cumsum(~same) - 1
-    out = np.zeros(len(position), bool)
-    out[order] = position[order] > np.minimum.reduceat(position[order], starts)[run]
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte highest."""
+    padded, out = np.r_[data, np.zeros(8, np.uint8)], np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out = (out << U64(8)) | padded[i : i + len(data)]
     return out
 
 
+def common_lengths(words: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, ``length`` at most, the stretch at each start shares with the one before it in the
+    list; 0 for the first."""
+    out, alike = np.zeros(len(start), np.int64), np.arange(1, len(start))
+    for step in range(0, length, 8):
+        differ = words[start[alike] + step] ^ words[start[alike - 1] + step]
+        out[alike] += sum((differ < U64(1 << 8 * i)).astype(np.int64) for i in range(8))
+        alike = alike[differ == 0]
+    return np.minimum(out, length)
+
+
+def _shared_with_smaller(position: np.ndarray, common: np.ndarray, steps: int) -> np.ndarray:
+    """Bytes that each suffix shares with the nearest one before it that has a smaller position. Blocks of
+    1, 2, 4, ... suffixes that end at a place hold their smallest position and the least shared length;
+    the longest row of blocks without a smaller position is skipped, the larger blocks first."""
+    least, shared, blocks = position, common, []
+    for k in range(steps):
+        blocks.append((least, shared))
+        step = 1 << k
+        if step >= len(position):
+            break
+        least = np.r_[least[:step], np.minimum(least[step:], least[:-step])]
+        shared = np.r_[np.zeros(step, shared.dtype), np.minimum(shared[step:], shared[:-step])]
+    out, at = common.copy(), np.arange(len(position)) - 1
+    for k in range(len(blocks) - 1, -1, -1):
+        least, shared = blocks[k]
+        skip = np.flatnonzero((at >= 0) & (out > 0))
+        skip = skip[least[at[skip]] > position[skip]]
+        out[skip] = np.minimum(out[skip], shared[at[skip]])
+        at[skip] -= 1 << k
+    return out
+
+
+def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factors of suffixes given in suffix order: common[i] is the length that i and
+    i - 1 share, 0 where nothing before may be compared. The earlier suffix that shares most is the
+    previous or the next one with a smaller position."""
+    if not len(position):
+        return common
+    ends = np.flatnonzero(np.r_[common == 0, True])
+    steps = int(np.diff(ends, prepend=0).max()).bit_length()
+    before = _shared_with_smaller(position, common, steps)
+    after = _shared_with_smaller(position[::-1], np.r_[0, common[:0:-1]], steps)
+    return np.maximum(before, after[::-1])
+
+
 def _suffix_ranges(key: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray, blobs: list[bytes], length: int):
     """(entry, start, end) of the strings that an earlier context of the same anchor has too.
     Entries are given in the order of their positions."""
@@ -232,7 +282,7 @@ def _suffix_ranges(key: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray,
     grid[inside] = data[(anchor[:, None] + column[None, :])[inside]]
     order = np.argsort(grid.reshape(-1).view(f"S{length}"), kind="stable")
     order = order[np.argsort(group[order], kind="stable")]
-    prints = Fingerprints(data)
+    words = _words(data)
     position = np.arange(n)
     out = []
     small = group.astype(np.uint16) if n <= 65536 else group
@@ -244,11 +294,10 @@ def _suffix_ranges(key: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray,
         here = order[least[order] <= back]
         if len(here) < 2:
             continue
-        start = anchor[here] - back
-        fp = prints.of(start, start + length)
-        same = np.r_[False, (fp[1:] == fp[:-1]) & (group[here[1:]] == group[here[:-1]])]
-        if same.any():
-            gone = here[smaller_neighbours(np.arange(len(here)), same, position[here])]
+        common = common_lengths(words, anchor[here] - back, length)
+        common[1:][group[here[1:]] != group[here[:-1]]] = 0
+        if (common == length).any():
+            gone = here[longest_previous(position[here], common) == length]
             out.append((gone, m[gone] - back))
     if not out:
         return np.empty(0, int), np.empty(0, int)

@@ -84,7 +84,7 @@ def plain_spans(pairs, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(255, None), (1, 3000), (255, 3000)])
+@pytest.mark.parametrize(("hot", "chunk"), [(255, None), (1, None), (1, 3000), (255, 3000)])
 def test_spans_match_a_plain_scan(spark, hot, chunk):
     pairs = corpus(5) + [(1000, "ab" * 400), (1001, "xab" * 3 + "ab" * 200), (1002, "z" * 99), (1003, "z" * 100), (1004, "y" + "z" * 100)]
     got = lpf.repeated_spans_removed(docs(spark, pairs), hot_chunks=hot, chunk_bytes=chunk).collect()
@@ -107,7 +107,7 @@ def test_short_alphabets(spark, seed, monkeypatch):
 
 
 def test_spans_of_awkward_rows(spark):
-    made = lpf.repeated_spans_removed(messy(spark).drop("rest"))
+    made = lpf.repeated_spans_removed(messy(spark))
     got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed) for r in made.collect()), key=str)
     assert len(got) == 16
     assert [x[2:] for x in got if x[1] == 1] == [(len(TEXT), 0)]
@@ -115,6 +115,8 @@ def test_spans_of_awkward_rows(spark):
     long = [x for x in got if x[1] == 10]
     assert long[0][3] >= len(LONG) - 1
     assert lpf.repeated_spans_removed(empty(spark)).collect() == []
+    carried = lpf.repeated_spans_removed(messy(spark), rest=True).collect()
+    assert len(carried) == 16 and {r.rest.rest for r in carried} == {5} and {r.rest.matches for r in carried} == {"m"}
 
 
 def test_kept_text_has_whole_characters(spark):
@@ -136,10 +138,32 @@ def test_anchors_are_asked_about_in_even_blocks(spark, monkeypatch):
     assert sizes.sum() == len(keys) > 500 and sizes.max() < 2 * sizes.mean()
 
 
-def test_suffix_neighbours():
-    order = np.array([3, 0, 2, 1])
-    same = np.array([False, True, True, False])
-    assert lpf.smaller_neighbours(order, same, np.arange(4)).tolist() == [False, False, True, True]
+def shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_longest_previous_factors_match_a_plain_scan(seed):
+    import random
+
+    rng = random.Random(seed)
+    length = rng.choice([8, 13, 24])
+    text = bytes(rng.choice(b"ab" if seed % 2 else b"abc") for _ in range(rng.randint(1, 150))) + b"b" * rng.choice([0, 40])
+    text += text[: rng.randint(0, 60)]
+    starts = np.arange(max(0, len(text) - length + 1))
+    order = np.array(sorted(starts, key=lambda i: text[i : i + length]), int)  # ties by position
+    common = lpf.common_lengths(lpf._words(np.frombuffer(text, np.uint8)), order, length)
+    suffixes = [text[i : i + length] for i in order]
+    assert common.tolist() == [0] * (len(order) > 0) + [shared(x, y) for x, y in zip(suffixes, suffixes[1:], strict=False)]
+    found = dict(zip(order.tolist(), lpf.longest_previous(order, common).tolist(), strict=True))
+    for i in starts:
+        assert found[i] == max((shared(text[i : i + length], text[j : j + length]) for j in range(i)), default=0)
+
+
+def test_longest_previous_factors_stay_within_groups():
+    position, common = np.array([3, 0, 2, 1]), np.array([0, 100, 40, 0])
+    assert lpf.longest_previous(position, common).tolist() == [100, 0, 40, 0]
+    assert lpf.longest_previous(np.empty(0, int), np.empty(0, int)).tolist() == []
 
 
 def plain_sentence_spans(pairs, least, min_words):
