@@ -13,8 +13,9 @@ distinct grams (context and byte) in blocks by the hash of the whole gram, where
 added up, so that a gram goes on once however many chunks have it. All grams below ``CUT`` bytes of context then meet in
 one task, 2^24 at most by construction at depth 5; it builds their subtree and answers with the code length of each. Depths 0 to
 2, shared by many tasks, are fitted before on the counts of (two bytes of context, byte), at most 2^24 numbers by
-construction. The weights of depth 2 need the log weights of all subtrees below: these are summed in tasks by two bytes of
-context and told to the subtrees. The weights of depths 0 and 1 are those of the tree cut at depth 2. Word counts
+construction. Their weights need the log weights of all subtrees below: these are summed in tasks by two bytes of
+context and told to the subtrees, and from there up to the nodes of depth 1, 256 x 255 at most, which all subtrees
+learn of and from which the weights of depth 0 follow. So the estimates of all depths are mixed by the weights of the whole tree. Word counts
 for the unigram base are added up like those of grams, and the number of distinct words is summed from what each
 task of words found.
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,18 +104,25 @@ class Tree:
             logs.append(np.bincount(back, child_log, len(node)))
         return np.concatenate(ids), np.concatenate(logs)
 
-    def weighed(self, ids: np.ndarray, deeper: np.ndarray) -> Tree:
-        """This tree with the weights of its deepest nodes from the sums of all subtrees below."""
-        out = copy.copy(self)
+    def weighed(self, depth: int, ids: np.ndarray, deeper: np.ndarray) -> tuple[Tree, np.ndarray, np.ndarray]:
+        """This tree with the weights of nodes of a depth (numbered as in ``sums``, sorted) from the sums of their
+        children's log weights; and such sums for the nodes above them."""
+        out, up, logs = copy.copy(self), [np.empty(0, np.uint64)], [np.empty(0)]
         out.nodes = dict(self.nodes)
         for bit in range(8):
-            node, n0, n1, weight = self.nodes[self.bottom, bit]
+            node, n0, n1, weight = self.nodes[depth, bit]
             a, b = np.searchsorted(ids, np.array([bit << 32, (bit + 1) << 32], np.uint64))
-            at, weight = np.searchsorted(node, ids[a:b] & U64(0xFFFFFFFF)), weight.copy()
+            some = ids[a:b] & U64(0xFFFFFFFF)
+            at, weight = np.searchsorted(node, some), weight.copy()
             own_log = block_log(n0[at], n1[at])
-            weight[at] = np.exp(own_log - np.logaddexp(own_log, deeper[a:b]))
-            out.nodes[self.bottom, bit] = (node, n0, n1, weight)
-        return out
+            both = np.logaddexp(own_log, deeper[a:b])
+            weight[at] = np.exp(own_log - both)
+            out.nodes[depth, bit] = (node, n0, n1, weight)
+            if depth:
+                above, back = np.unique(_parent(some, bit), return_inverse=True)
+                up.append(above | U64(bit << 32))
+                logs.append(np.bincount(back, both - np.log(2), len(above)))
+        return out, np.concatenate(up), np.concatenate(logs)
 
     def mixed(self, keys: np.ndarray, bytes_deep: int, p: list[np.ndarray], known: list[np.ndarray], from_depth: int) -> None:
         """Mix the estimates of depths from_depth to ``top`` into p, the probabilities of each key's
@@ -292,9 +301,11 @@ def _subtrees(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, Tree
     return keys, order, Tree(keys[n > 0], n[n > 0], CUT, depth)
 
 
-def _weighed(merged: DataFrame, buckets: int, depth: int) -> DataFrame:
+def _weighed(merged: DataFrame, top, buckets: int, depth: int) -> DataFrame:
     """(_sub, _pair, nodes, logs): for the nodes of depth 2 that a subtree task has children of, the
-    sum of the log weights of all their children."""
+    sum of the log weights of all their children; and to every subtree task, with -1 as _pair, such sums for all
+    nodes of depth 1."""
+    schema = "_sub int, _pair int, nodes binary, logs binary"
 
     def up(table: pa.Table) -> pa.Table:
         ids, logs = _subtrees(table, depth)[2].sums()
@@ -310,27 +321,53 @@ def _weighed(merged: DataFrame, buckets: int, depth: int) -> DataFrame:
             }
         )
 
-    def pair(table: pa.Table) -> pa.Table:
+    def total(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         table = table.sort_by([("_sub", "ascending")])
         ids, back = np.unique(_read(table, "nodes", np.uint64), return_inverse=True)
-        total = np.bincount(back, _read(table, "logs", np.float64), len(ids))
-        return table.select(["_sub", "_pair", "nodes"]).append_column("logs", _split(total[back], table["nodes"]))
+        return table, ids, back, np.bincount(back, _read(table, "logs", np.float64), len(ids))
+
+    def pair(table: pa.Table) -> pa.Table:
+        table, _, back, logs = total(table)
+        return table.select(["_sub", "_pair", "nodes"]).append_column("logs", _split(logs[back], table["nodes"]))
+
+    def above(table: pa.Table) -> pa.Table:
+        _, ids, _, logs = total(table)
+        _, ids, logs = top.value.weighed(2, ids, logs)
+        return pa.table({"node": pa.array(ids.view(np.int64)), "log": pa.array(logs)})
 
-    sums = merged.groupBy("_sub").applyInArrow(up, "_pair int, _sub int, nodes binary, logs binary")
-    return sums.groupBy("_pair").applyInArrow(pair, "_sub int, _pair int, nodes binary, logs binary")
+    def as_row(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending")])
+        blobs = {"nodes": table["node"].to_numpy().tobytes(), "logs": table["log"].to_numpy().tobytes()}
+        return pa.table({"one": pa.array([1], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in blobs.items()}})
+
+    sums = merged.groupBy("_sub").applyInArrow(up, "_pair int, _sub int, nodes binary, logs binary").groupBy("_pair")
+    # sums of decimals don't depend on the order of their terms
+    ones = sums.applyInArrow(above, "node long, log double").groupBy("node").agg(F.sum(F.col("log").cast("decimal(38,9)")).cast("double").alias("log"))
+    # one row of at most 256 x 255 nodes
+    row = ones.groupBy(F.lit(1).alias("one")).applyInArrow(as_row, "one long, nodes binary, logs binary")
+    tasks = merged.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_sub"), F.lit(1).cast("long").alias("one"))
+    told = tasks.join(F.broadcast(row), "one").select("_sub", F.lit(-1).alias("_pair"), "nodes", "logs")
+    return sums.applyInArrow(pair, schema).unionByName(told)
 
 
 def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
     """(_chunk, _bucket, said, distinct): for every key the bits of a gram in 4 bytes or the count of a
     word in 8; the number of distinct training words, told to one chunk of each task."""
 
+    def weights_of(got: pa.Table) -> Tree:
+        is_one = pa.array(got["_pair"].to_numpy() < 0)
+        pairs, ones = got.filter(pa.compute.invert(is_one)), got.filter(is_one)
+        ids, logs = _read(pairs, "nodes", np.uint64), _read(pairs, "logs", np.float64)
+        by_id = np.argsort(ids)
+        tree, _, _ = top.value.weighed(2, ids[by_id], logs[by_id])
+        tree, ids, logs = tree.weighed(1, _read(ones, "nodes", np.uint64), _read(ones, "logs", np.float64))
+        return tree.weighed(0, ids, logs)[0]
+
     def down(table: pa.Table, got: pa.Table) -> pa.Table:
         table = table.sort_by([("_bucket", "ascending")])
         keys, order, tree = _subtrees(table, depth)
-        ids, logs = _read(got, "nodes", np.uint64), _read(got, "logs", np.float64)
-        by_id = np.argsort(ids)
         bits = np.empty(len(keys), np.float32)
-        bits[order] = code_lengths(tree, top.value.weighed(ids[by_id], logs[by_id]), keys)
+        bits[order] = code_lengths(tree, weights_of(got), keys)
         return pa.table({"_bucket": table["_bucket"], "_sub": table["_sub"], "bits": _split(bits, table["keys"])})
 
     def one(table: pa.Table, got: pa.Table) -> pa.Table:
@@ -352,7 +389,7 @@ def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
         )
 
     merged = _merged(asked, buckets, depth)
-    weighed = _weighed(merged, buckets, depth)
+    weighed = _weighed(merged, top, buckets, depth)
     bits = merged.groupBy("_sub").cogroup(weighed.groupBy("_sub")).applyInArrow(down, "_bucket int, _sub int, bits binary")
     return asked.groupBy("_bucket").cogroup(bits.groupBy("_bucket")).applyInArrow(one, "_chunk int, _bucket int, said binary, distinct long")
 
@@ -389,8 +426,9 @@ def trained_on() -> Column:
 
 
 def scored(df: DataFrame, depth: int = DEPTH, chunk_bytes: int | None = None, train: Column | None = None) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10),
-    n_bytes of the normal form and bits_per_byte."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10; score is
+    that of the normal form, whose white space is single spaces), n_bytes of the normal form and bits_per_byte. Runs
+    jobs when called: the counts of two bytes of context, and the scores, which are stored."""
     train = trained_on() if train is None else train
     top = df.sparkSession.sparkContext.broadcast(top_tree(df.where(train)))
     chunks, n = chunked(df, [train.alias("train")], **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))

@@ -84,14 +84,13 @@ def plain_bits(train, texts, depth):
 
     known: dict = {}
 
-    def weighted(key, leaf):
-        if (key, leaf) not in known:
-            if len(key[0]) == leaf:
-                known[key, leaf] = block(key)
+    def weighted(key):
+        if key not in known:
+            if len(key[0]) == depth:
+                known[key] = block(key)
             else:
-                deeper = sum(weighted(x, leaf) for x in kids[key])
-                known[key, leaf] = np.logaddexp(block(key), deeper) - math.log(2)
-        return known[key, leaf]
+                known[key] = np.logaddexp(block(key), sum(weighted(x) for x in kids[key])) - math.log(2)
+        return known[key]
 
     out = []
     for text in texts:
@@ -104,8 +103,7 @@ def plain_bits(train, texts, depth):
                     key = (data[i - d : i][::-1], bit, data[i] >> (8 - bit))
                     if key not in nodes:
                         continue
-                    leaf = 2 if d < 2 else depth
-                    w = 1.0 if not seen else math.exp(block(key) - math.log(2) - weighted(key, leaf))
+                    w = 1.0 if not seen else math.exp(block(key) - math.log(2) - weighted(key))
                     p = w * (nodes[key][x] + 0.5) / (sum(nodes[key]) + 1) + (1 - w) * p
                     seen = True
                 total -= math.log2(p)
@@ -175,6 +173,20 @@ def test_bits_of_all_bytes_sum_to_one():
         assert math.isclose((2.0 ** -ctw.code_lengths(deep, top, asked)).sum(), 1, rel_tol=1e-9)
 
 
+def test_weights_of_all_depths_are_those_of_the_whole_tree():
+    text = [t.encode()[:300] + b"\n" for _, t in corpus(3, 10, 1)] + [b"q\n", b"q\n", bytes(range(256))]
+    keys, n = ctw._gram_counts(text, np.ones(len(text), bool), 5)
+    few, few_n = ctw._gram_counts(text, np.ones(len(text), bool), 2)
+    whole, tree = ctw.Tree(keys, n, 0, 5), ctw.Tree(few, few_n, 0, 2)
+    ids, logs = ctw.Tree(keys, n, 3, 5).sums()
+    for depth in (2, 1, 0):
+        tree, ids, logs = tree.weighed(depth, ids, logs)
+        for bit in range(8):
+            assert (tree.nodes[depth, bit][0] == whole.nodes[depth, bit][0]).all()
+            assert np.allclose(tree.nodes[depth, bit][3], whole.nodes[depth, bit][3], rtol=1e-9, atol=0)
+    assert len(ids) == 0
+
+
 def test_block_probability():
     n0, n1 = np.array([0, 3, 4095, 4096, 100_000]), np.array([0, 2, 1, 5000, 7])
     want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(n0, n1, strict=True)]
