@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,8 +302,8 @@ def _subtrees(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, Tree
 
 def _weighed(merged: DataFrame, top, buckets: int, depth: int) -> DataFrame:
     """(_sub, _pair, nodes, logs): for the nodes of depth 2 that a subtree task has children of, the
-    sum of the log weights of all their children; and to every subtree task, with -1 as _pair, such sums for all
-    nodes of depth 1."""
+    sum of the log weights of all their children; and to every subtree task, with a _pair below 0 for each bit, such
+    sums for all nodes of depth 1."""
     schema = "_sub int, _pair int, nodes binary, logs binary"
 
     def up(table: pa.Table) -> pa.Table:
@@ -336,17 +335,17 @@ def _weighed(merged: DataFrame, top, buckets: int, depth: int) -> DataFrame:
         return pa.table({"node": pa.array(ids.view(np.int64)), "log": pa.array(logs)})
 
     def as_row(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending")])
         blobs = {"nodes": table["node"].to_numpy().tobytes(), "logs": table["log"].to_numpy().tobytes()}
-        return pa.table({"one": pa.array([1], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in blobs.items()}})
+        return pa.table({"bit": table["bit"][:1], **{k: pa.array([x], pa.binary()) for k, x in blobs.items()}})
 
     sums = merged.groupBy("_sub").applyInArrow(up, "_pair int, _sub int, nodes binary, logs binary").groupBy("_pair")
     # sums of decimals don't depend on the order of their terms
     ones = sums.applyInArrow(above, "node long, log double").groupBy("node").agg(F.sum(F.col("log").cast("decimal(38,9)")).cast("double").alias("log"))
-    # one row of at most 256 x 255 nodes
-    row = ones.groupBy(F.lit(1).alias("one")).applyInArrow(as_row, "one long, nodes binary, logs binary")
-    tasks = merged.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_sub"), F.lit(1).cast("long").alias("one"))
-    told = tasks.join(F.broadcast(row), "one").select("_sub", F.lit(-1).alias("_pair"), "nodes", "logs")
+    ones = ones.withColumn("bit", F.shiftright("node", 32).cast("int"))
+    # eight rows with 256 x 255 nodes at most in all
+    rows = ones.groupBy("bit").applyInArrow(as_row, "bit int, nodes binary, logs binary")
+    wanted = merged.sparkSession.range(8 * buckets).select(F.expr("cast(id div 8 as int)").alias("_sub"), F.expr("cast(id % 8 as int)").alias("bit"))
+    told = wanted.join(F.broadcast(rows), "bit").select("_sub", (-1 - F.col("bit")).alias("_pair"), "nodes", "logs")
     return sums.applyInArrow(pair, schema).unionByName(told)
 
 
@@ -355,12 +354,14 @@ def _answered(asked: DataFrame, top, buckets: int, depth: int) -> DataFrame:
     word in 8; the number of distinct training words, told to one chunk of each task."""
 
     def weights_of(got: pa.Table) -> Tree:
-        is_one = pa.array(got["_pair"].to_numpy() < 0)
-        pairs, ones = got.filter(pa.compute.invert(is_one)), got.filter(is_one)
-        ids, logs = _read(pairs, "nodes", np.uint64), _read(pairs, "logs", np.float64)
-        by_id = np.argsort(ids)
-        tree, _, _ = top.value.weighed(2, ids[by_id], logs[by_id])
-        tree, ids, logs = tree.weighed(1, _read(ones, "nodes", np.uint64), _read(ones, "logs", np.float64))
+        def sums(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids, logs = _read(some, "nodes", np.uint64), _read(some, "logs", np.float64)
+            order = np.argsort(ids)
+            return ids[order], logs[order]
+
+        is_one = got["_pair"].to_numpy() < 0
+        tree, _, _ = top.value.weighed(2, *sums(got.filter(pa.array(~is_one))))
+        tree, ids, logs = tree.weighed(1, *sums(got.filter(pa.array(is_one))))
         return tree.weighed(0, ids, logs)[0]
 
     def down(table: pa.Table, got: pa.Table) -> pa.Table:
