@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.bindings import with_tables
-from cohortlens.fixed import CATEGORIES, FORM_FEATURES, IMD_ORDER, MEASURES, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
+from cohortlens.fixed import CATEGORIES, ENGAGEMENT_LABELS, FORM_FEATURES, IMD_ORDER, MEASURES, PLOT_ROWS, RESULT_ORDER, SEED, TEST_SHARE
 from cohortlens.functions.expressions import flag
 from cohortlens.operators import as_of, bands, distinct, encode, features, metrics, models, quantile_sketches, sampling
 from cohortlens.operators import select, stats, summaries
 from cohortlens.operators.scale import attach, settle, shared_folder
 from cohortlens.plans import master as plans
+from cohortlens.plans.grouped import grouped_reports
 from cohortlens.plans.reports import reports
 from cohortlens.sources import readers, sinks
 
@@ -559,6 +560,40 @@ def kpi_export(spark, d):
     return summaries.kpi_report(b.joined(spark, d))
 
 
+_BAND_VALUES = ", ".join(f"('{label}', {lo}, {hi})" for label, lo, hi in zip(ENGAGEMENT_LABELS, b.BAND_EDGES, b.BAND_EDGES[1:]))
+
+
+@query("grouped_reports", with_tables("joined", f"""
+    SELECT 'Result_Summary' AS report, concat_ws('|', gender, age_band, highest_education, final_result) AS name,
+           count(*) AS n, {r("any_value(CASE WHEN final_result IN ('Pass', 'Distinction') THEN 1 ELSE 0 END)", "value")}
+    FROM joined WHERE gender IS NOT NULL AND age_band IS NOT NULL AND highest_education IS NOT NULL AND final_result IS NOT NULL
+    GROUP BY gender, age_band, highest_education, final_result
+    UNION ALL SELECT 'Module_Performance', concat_ws('|', code_module, code_presentation), count(id_student), {r("avg(total_clicks)", "v")}
+    FROM joined WHERE code_module IS NOT NULL AND code_presentation IS NOT NULL GROUP BY code_module, code_presentation
+    UNION ALL SELECT 'Engagement_Bands', label, count(id_student), {r("100.0 * avg(target)", "v")}
+    FROM (VALUES {_BAND_VALUES}) AS v(label, lo, hi) LEFT JOIN joined ON total_clicks > lo AND total_clicks <= hi GROUP BY label
+    UNION ALL SELECT 'IMD_Deprivation', imd_band, count(id_student), {r("avg(avg_assessment_score)", "v")}
+    FROM joined WHERE imd_band IS NOT NULL GROUP BY imd_band
+    UNION ALL SELECT 'KPI_Summary', 'all', count(*), {r("100.0 * avg(withdrew)", "v", 1)} FROM joined"""))
+def grouped_reports_in_one_scan(spark, d):
+    made = grouped_reports(b.joined(spark, d), b.BAND_EDGES)
+    shown = {
+        "Result_Summary": (["gender", "age_band", "highest_education", "final_result"], "count", "pass_flag"),
+        "Module_Performance": (["code_module", "code_presentation"], "total_students", "avg_clicks"),
+        "Engagement_Bands": (["engagement_band"], "students", "pass_rate"),
+        "IMD_Deprivation": (["imd_band"], "students", "avg_score"),
+        "KPI_Summary": ([], "Total Students", "Withdrawal Rate (%)"),
+    }
+    lines = [
+        made[report].select(
+            F.lit(report).alias("report"), (F.concat_ws("|", *keys) if keys else F.lit("all")).alias("name"),
+            F.col(count).alias("n"), F.col(value).cast("double").alias("value"),
+        )
+        for report, (keys, count, value) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, lines)
+
+
 _KEPT = "gender = 'F' AND final_result IN ('Pass', 'Distinction', 'Withdrawn')"
 
 

@@ -90,7 +90,7 @@ def export(spark: SparkSession, data: str, out: str, fmt: str = "csv") -> dict[s
     if master is None:
         raise FileNotFoundError("no feature table: run prepare first")
     stored = read_tables(spark, f"{out}/tables", "table") if fmt == "csv" else read_tables(spark, data, fmt)
-    return write_reports(reports(master, stored), f"{out}/reports")
+    return write_reports(reports(master, stored, one_scan=True), f"{out}/reports")
 
 
 def run(spark: SparkSession, data: str, out: str, fmt: str = "csv", **options) -> DataFrame:

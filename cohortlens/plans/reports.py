@@ -15,6 +15,7 @@ from cohortlens.operators.summaries import (
     module_performance,
     result_summary,
 )
+from cohortlens.plans.grouped import grouped_reports
 from cohortlens.plans.master import risk_report
 
 
@@ -26,8 +27,10 @@ def reports(
     engagement_edges: list[float] = ENGAGEMENT_EDGES,
     clicks_below: float = RISK_CLICKS,
     score_below: float = RISK_SCORE,
+    one_scan: bool = False,
 ) -> dict[str, DataFrame]:
-    """Every report whose columns and tables are there."""
+    """Every report whose columns and tables are there. With ``one_scan`` those that group the feature table come from
+    one aggregate, which is stored at once: for runs that need them all."""
     info, clicks = tables.get("studentInfo"), tables.get("studentVle")
     submissions, assessments = tables.get("studentAssessment"), tables.get("assessments")
     registrations = tables.get("studentRegistration")
@@ -56,4 +59,5 @@ def reports(
     if registrations is not None:
         made["Withdrawal_Timeline"] = withdrawal_timeline(registrations)
     made["KPI_Summary"] = kpi_report(master)
-    return made
+    grouped = grouped_reports(master, engagement_edges) if one_scan else {}
+    return {name: grouped.get(name, report) for name, report in made.items()}
