@@ -22,6 +22,9 @@ from cohortlens.functions.expressions import (
 )
 from cohortlens.operators.select import in_label_order
 
+#: Columns that a cross-tab makes of values found in the data, at most.
+MOST_COLUMNS = 1000
+
 
 def value_counts(df: DataFrame, column: str, share: bool = False) -> DataFrame:
     """Rows per value, most frequent first; with ``share`` also the part of all rows."""
@@ -41,12 +44,14 @@ def crosstab(
 ) -> DataFrame:
     """Counts of (row, column) with one output column per column value, or row percentages.
 
-    With ``values`` None the values are read from the data, one output column for each: for a
-    column of few values. ``crosstab_cells`` gives any number of them as rows. Percentages divide by all rows
+    With ``values`` None the values are read from the data, one output column for each; beyond ``MOST_COLUMNS``
+    of them that is an error, and ``crosstab_cells`` gives any number of them as rows. Percentages divide by all rows
     that have both keys, so a value that is not listed still counts towards the row total."""
     pairs = df.where(all_present([row, column]))
     if values is None:
-        values = sorted(r[0] for r in pairs.select(column).distinct().collect())
+        values = sorted(r[0] for r in pairs.select(column).distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(values) > MOST_COLUMNS:
+            raise ValueError(f"{column} has more than {MOST_COLUMNS} values: name them, or use crosstab_cells")
     cells = pairs.groupBy(row).agg(
         *[F.count_if(F.col(column) == v).alias(str(v)) for v in values],
         F.count(F.lit(1)).alias("_all"),

@@ -165,3 +165,13 @@ def test_low_engagement(spark, rows):
     )
     made = rows(summaries.low_engagement_dropout(given))[0]
     assert made["students"] == 3 and made["withdrawn_pct"] == pytest.approx(100 / 3)
+
+
+def test_crosstab_of_too_many_values_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([("a", f"v{i}") for i in range(4)], "r string, c string")
+    monkeypatch.setattr(summaries, "MOST_COLUMNS", 4)
+    assert summaries.crosstab(df, "r", "c", None).columns == ["r", "v0", "v1", "v2", "v3"]
+    monkeypatch.setattr(summaries, "MOST_COLUMNS", 3)
+    with pytest.raises(ValueError, match="crosstab_cells"):
+        summaries.crosstab(df, "r", "c", None)
+    assert summaries.crosstab_cells(df, "r", "c").count() == 4
