@@ -152,3 +152,26 @@ def test_reports(spark, master):
     ]
     bare = reports(master.drop("total_clicks", "imd_band", "clicks_day30").withColumn("total_clicks", F.lit(1)), {})
     assert "IMD_Deprivation" not in bare and "Daily_VLE_Activity" not in bare and "Early_Warning_Day30" not in bare
+
+
+def test_a_fit_has_as_many_parts_as_its_passes_need(signal, monkeypatch):
+    """Boosting starts a task for each part in every level of every tree."""
+    seen = {}
+
+    class Recorded:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def fit(self, rows):
+            seen[self.kind] = rows.rdd.getNumPartitions(), rows.count(), rows.agg(F.sum("id")).first()[0]
+
+    monkeypatch.setattr(models, "make_pipeline", lambda features, settings, *a, **k: Recorded(settings["kind"]))
+    dealt = signal.repartition(12).cache()
+    many = {**SETTINGS, "Random Forest": {"kind": "forest", "numTrees": 2000}}
+    models.train(dealt, FEATURES, many)
+    whole = 3000, 3000 * 2999 // 2
+    assert seen == {"linear": (1, *whole), "forest": (5, *whole), "boost": (1, *whole)}
+    monkeypatch.setattr(models, "TASK_CELLS", 1000)
+    models.train(dealt, FEATURES, SETTINGS)
+    assert seen["boost"] == (9, *whole)
+    dealt.unpersist()
