@@ -36,8 +36,8 @@ WORDS = 5
 PERCENT = 75
 #: Classes in a block of the product.
 BLOCK = 1024
-#: Increments handled at once in a product.
-STEP = 4_000_000
+#: Increments handled at once in a product, of some 50 bytes each.
+STEP = 1_000_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -158,17 +158,20 @@ def product(
     hb, ib = hb[order], ib[order]
     lo, hi = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
     width = hi - lo
-    counts = np.zeros(len(left) * len(right), np.int32)
+    counts = np.zeros((len(left), len(right)), np.int32)
     bounds = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + STEP, STEP))
     for s, e in zip(bounds[:-1], [*bounds[1:-1], len(width)], strict=True):
         w = width[s:e]
         if not w.sum():
             continue
-        row = np.repeat(ia[s:e], w)
-        at = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[s:e], w)
-        counts += np.bincount(row * len(right) + ib[at], minlength=len(counts)).astype(np.int32)
-    counts = counts.reshape(len(left), len(right)).astype(np.int64)
-    linked = 100 * counts >= percent * (left_n[:, None] + right_n[None, :] - counts)
+        # the entries come class by class, so a step adds to a few rows of the counts
+        first, last = ia[s], ia[e - 1] + 1
+        cell = np.repeat((ia[s:e] - first) * len(right), w)
+        at = np.arange(w.sum()) + np.repeat(lo[s:e] - (np.cumsum(w) - w), w)
+        cell += ib[at]
+        counts[first:last] += np.bincount(cell, minlength=(last - first) * len(right)).reshape(-1, len(right))
+    # 100 * overlap >= percent * union, union being both sizes less the overlap
+    linked = (100 + percent) * counts.astype(np.int64) >= percent * (left_n[:, None] + right_n[None, :])
     if same:
         linked &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
     return np.argwhere(linked)
