@@ -110,3 +110,18 @@ def test_later_days_change_nothing(spark):
 def test_cut_days_must_ascend(spark):
     with pytest.raises(ValueError):
         as_of.as_of_features({}, (60, 30))
+
+
+def test_scores_come_together_by_learner_before_they_become_cells(spark):
+    """Else a task of rows dealt by assessment holds a cell for nearly every row."""
+    made = [(i % 40, i // 40 + i % 40 * 50, float(i % 101), i % 90) for i in range(2000)] + [(None, 1, 50.0, 3)] * 5
+    rows = spark.createDataFrame(made, "id_student long, id_assessment long, score double, date_submitted int").repartition(8, "id_assessment")
+    dealt = as_of.together(rows, "id_student")
+    assert dealt.columns == rows.columns
+    held = dealt.withColumn("_task", F.spark_partition_id()).groupBy("id_student").agg(F.count_distinct("_task").alias("tasks"), F.count(F.lit(1)).alias("n"))
+    assert sorted(tuple(r) for r in held.collect()) == [(k, 1, 50) for k in range(40)]
+    items = spark.range(2000).selectExpr("id AS id_assessment", "'TMA' AS assessment_type", "CAST(id % 80 AS INT) AS date")
+    plan = as_of.as_of_scores(rows, items, (30, 60))._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    # a hot learner's part may be split, so cells are combined in each task and exchanged
+    assert "partial_bit_or" in plan
