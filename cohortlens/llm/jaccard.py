@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, answer, ask, chunk_counts, chunked, components, in_order, mix, tell
+from cohortlens.llm.common import U64, answer, ask, chunk_counts, chunked, components, give_back, in_order, lean, mix, tell, texts_of
 from cohortlens.operators.scale import settle
 
 WORDS = 5
@@ -63,27 +63,35 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 def _chunk_sets(table: pa.Table, words: int) -> tuple[pa.Table, list[np.ndarray]]:
     table = in_order(table)
-    return table, [shingles(x, words) for x in table["text"].to_pylist()]
+    return table, [shingles(x, words) for x in texts_of(table)]
 
 
 def _join(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and which of them occur more than once. Sorts the keys where they are."""
+    keys.sort()
+    same = keys[1:] == keys[:-1]
+    first = np.ones(len(keys), bool)
+    first[1:] = ~same
+    return keys[first], np.append(same, False)[: len(keys)][first]
+
+
 def described(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n, set_key (16 bytes; null without shingles), and for the first of a set in
     its chunk, if enough of it is shared: the shared shingles rarest first and the prefix length."""
     chunks, n_chunks = chunked(df)
 
     def keys_of(table: pa.Table):
-        _, sets = _chunk_sets(table, words)
-        keys = np.unique(_join(sets))
+        keys, _ = _distinct(_join([shingles(x, words) for x in texts_of(table)]))
         return keys, np.empty(0, np.int64)
 
     def finish(table: pa.Table, said: np.ndarray) -> pa.Table:
         table, sets = _chunk_sets(table, words)
-        keys, local = np.unique(_join(sets), return_counts=True)
-        shared_keys = (said > 1) | (local > 1)
+        keys, local = _distinct(_join(sets))
+        shared_keys = (said > 1) | local
         out = {"n": [], "set_key": [], "shared": [], "prefix": []}
         seen = set()
         for s in sets:
@@ -120,6 +128,7 @@ def _prefix_rows(classes: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
+            give_back()
             keys, hashes = [], []
             for key, shared, prefix in zip(*(batch.column(c).to_pylist() for c in ("set_key", "shared", "prefix")), strict=True):
                 h = np.frombuffer(shared, np.int64)[:prefix]
@@ -249,7 +258,7 @@ def _block_products(members: DataFrame, percent: int, block: int) -> DataFrame:
             }
         )
 
-    return whole.unionByName(dealt).groupBy("root", "pair").applyInArrow(links, "set_key binary, root_key binary, links long")
+    return whole.unionByName(dealt).groupBy("root", "pair").applyInArrow(lambda table: lean(links, table), "set_key binary, root_key binary, links long")
 
 
 def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortlens.llm.common import U64, crc_of_id, mix
+from cohortlens.llm.common import U64, crc_of_id, give_back, mix
 
 FIT_DOCUMENTS = 2_000
 CELLS = 1 << 16
@@ -35,8 +35,9 @@ SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 #: A language uses a script if at least this share of its training letters is of it.
 SCRIPT_SHARE = 0.001
-#: Words whose scores a task keeps, and texts in one recursion.
+#: Words whose scores a task keeps, words scored at once, and texts in one recursion.
 TABLE = 200_000
+WORDS = 20_000
 TEXTS = 1_000
 #: Letters of any script; number signs such as one half or Roman eight are none.
 _WORD = regex.compile(r"\p{L}+")
@@ -169,6 +170,7 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
         own = Model(*shared.value)
         known, table = {}, np.empty((0, len(own.languages)), np.float32)
         for batch in batches:
+            give_back()
             for first in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(first, TEXTS)
                 texts = pa.compute.struct_field(part.column("row"), text_at).cast(pa.string()).to_pylist()
@@ -189,7 +191,7 @@ def label_spans(df: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
                     ids.append(np.array(at, np.int32))
                     letters.append(np.fromiter(map(len, found), np.int32, len(found)))
                 if new and own.languages:
-                    table = np.concatenate([table, word_scores(own, new)])
+                    table = np.concatenate([table, *(word_scores(own, new[i : i + WORDS]) for i in range(0, len(new), WORDS))])
                 made = _labelled(own, ids, letters, table, penalty)
                 yield pa.RecordBatch.from_arrays([part.column("row"), *made], names=["row", "lang_pred", "score", "spans"])
 

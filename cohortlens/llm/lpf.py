@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortlens.llm.common import U64, answer, ask, chunk_counts, chunked, ids_of, in_order, mix, tell
+from cohortlens.llm.common import U64, answer, ask, chunk_counts, chunked, ids_of, in_order, lean, mix, tell, texts_of
 
 LENGTH = 100
 ANCHOR = 32
 HOT_CHUNKS = 255
 #: Bytes of texts hashed at once.
-BATCH = 1_000_000
+BATCH = 250_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = U64(0x5851F42D4C957F2D)
 _UNBASE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -165,8 +165,7 @@ def _gathered(table: pa.Table, said: np.ndarray, buckets: int, length: int, k: i
     single strings of hot anchors."""
     table = in_order(table)
     chunk, owners = table["_chunk"][0].as_py(), ids_of(table)
-    texts = [(x or "").encode() for x in table["text"].to_pylist()]
-    batches = list(anchors(texts, length, k))
+    batches = list(anchors([x.encode() for x in texts_of(table)], length, k))
     if not batches:
         return _table(0, 0, 0, 0, 0, 0, np.empty(0, int), 0, 0, 0, None)
     every = np.concatenate([x[5] for x in batches])
@@ -189,8 +188,7 @@ def _gathered(table: pa.Table, said: np.ndarray, buckets: int, length: int, k: i
     tables.append(_table(r_s % buckets, RANGE, 0, 0, 0, chunk, r_doc, r_s, r_e, 0, None))
     is_hot = ~later & (with_key >= hot)
     cold = np.flatnonzero(~later & ~is_hot)
-    whole = [x[0].tobytes() for x in batches]
-    ctx = [whole[b][x : y + length] for b, x, y in zip(batch[cold], lo[cold], hi[cold], strict=True)]
+    ctx = [batches[b][0][x : y + length].tobytes() for b, x, y in zip(batch[cold], lo[cold], hi[cold], strict=True)]
     tables.append(
         _table(key[cold] % U64(buckets), CONTEXT, key[cold], context[cold], owners[doc[cold]], chunk, doc[cold], s[cold], e[cold], m[cold], ctx)
     )
@@ -354,7 +352,7 @@ def repeated_spans_removed(
     buckets = 4 * n
 
     def keys_of(table: pa.Table):
-        texts = [(x or "").encode() for x in table["text"].to_pylist()]
+        texts = [x.encode() for x in texts_of(table)]
         found = [x[5] for x in anchors(texts, length, k, contexts=False)]
         # minima of many hashes lie at the low end of the key space; mixed, they fill all buckets alike
         return np.unique(mix(np.concatenate(found))) if found else np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -365,8 +363,8 @@ def repeated_spans_removed(
         doc, s, e = _ranges(*(ranges[c].to_numpy().astype(np.int64) for c in ("ord", "s", "e")))
         at = np.searchsorted(doc, np.arange(len(table) + 1))
         out = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
-        for i, text in enumerate(table["text"].to_pylist()):
-            text = (text or "").encode()
+        for i, text in enumerate(texts_of(table)):
+            text = text.encode()
             spans = list(zip(s[at[i] : at[i + 1]].tolist(), e[at[i] : at[i + 1]].tolist(), strict=True))
             begins, ends = [0, *(y for _, y in spans)], [*(x for x, _ in spans), len(text)]
             kept = b"".join(text[x:y] for x, y in zip(begins, ends, strict=True)) if spans else text
@@ -385,8 +383,8 @@ def repeated_spans_removed(
 
     answers = answer(ask(chunks, keys_of, n), chunk_counts)
     gathered = tell(chunks, answers, lambda t, said: _gathered(t, said, buckets, length, k, hot_chunks), ROWS)
-    ranges = gathered.groupBy("_bucket").applyInArrow(lambda t: _resolved(t, length), "_chunk int, ord int, s int, e int")
+    ranges = gathered.groupBy("_bucket").applyInArrow(lambda t: lean(lambda x: _resolved(x, length), t), "_chunk int, ord int, s int, e int")
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
     if rest:
         schema = schema.add("kept_text", "string").add(chunks.schema["rest"])
-    return chunks.groupBy("_chunk").cogroup(ranges.groupBy("_chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("_chunk").cogroup(ranges.groupBy("_chunk")).applyInArrow(lambda table, found: lean(finish, table, found), schema)

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import parts
+from cohortlens.llm.common import give_back, parts
 from cohortlens.llm.tokens import encoder
 from cohortlens.operators.scale import settle
 
 SIZE = 2048
+#: Texts that are encoded at once.
+TEXTS = 1_000
 
 
 def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, drops_space: bool = True) -> DataFrame:
@@ -33,16 +35,19 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, drops_s
 
     def cut(batches):
         encode, end = encoder(tokenizer, drops_space).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                made = encode(text or "") + end
-                for i, at in enumerate(range(0, len(made), 4 * size)):
-                    one = made[at : at + 4 * size]
-                    for name, value in zip(rows, (doc_id, i, at // 4, len(one) // 4, one), strict=True):
-                        rows[name].append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+        for whole in batches:
+            give_back()
+            for first in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(first, TEXTS)
+                rows = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    made = encode(text or "") + end
+                    for i, at in enumerate(range(0, len(made), 4 * size)):
+                        one = made[at : at + 4 * size]
+                        for name, value in zip(rows, (doc_id, i, at // 4, len(one) // 4, one), strict=True):
+                            rows[name].append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
     rows = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")

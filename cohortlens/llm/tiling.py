@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, mix
+from cohortlens.llm.common import U64, give_back, mix
 from cohortlens.operators.scale import settle
 
 MIN_MATCH = 4
@@ -175,6 +175,7 @@ def tiled(df: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, perce
 
         def rows(batches, shared=shared):
             for batch in batches:
+                give_back()
                 for first in range(0, batch.num_rows, TEXTS):
                     part = batch.slice(first, TEXTS)
                     texts = pa.compute.struct_field(part.column("row"), text_at).cast(pa.string()).to_pylist()
