@@ -168,7 +168,8 @@ def product(
     lo, hi = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
     width = hi - lo
     counts = np.zeros((len(left), len(right)), np.int32)
-    bounds = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + STEP, STEP))
+    # one step at least: blocks of a large group may share nothing
+    bounds = np.searchsorted(np.cumsum(width), np.arange(0, max(width.sum(), 1) + STEP, STEP))
     for s, e in zip(bounds[:-1], [*bounds[1:-1], len(width)], strict=True):
         w = width[s:e]
         if not w.sum():

@@ -51,6 +51,19 @@ def test_components_in_small_blocks(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(pairs)
 
 
+def test_blocks_of_a_group_that_share_nothing(spark):
+    a, b = np.arange(8, dtype=np.uint64), np.arange(20, 28, dtype=np.uint64)
+    n = np.array([8])
+    assert jaccard.product([a], [b], n, n, False, 75).shape == (0, 2)
+    # a chain is one group, its ends have no shingle in common
+    chain = [" ".join(f"w{i}" for i in range(6 * k, 60 + 6 * k)) for k in range(40)]
+    longer = [f"{x} " + " ".join(f"v{k}.{i}" for i in range(4)) for k, x in enumerate(chain)]
+    pairs = list(enumerate([*chain, *longer]))
+    got = jaccard.jaccard_components(docs(spark, pairs), block=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(pairs)
+    assert {r.component_id for r in got} == {0}
+
+
 def test_bound_is_inclusive():
     a, b = np.arange(8, dtype=np.uint64), np.arange(6, dtype=np.uint64)
     n = np.array([8]), np.array([6])
