@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import bindings as b
+from checks import queries
 from cohortlens.operators import models
 from cohortlens.operators.sampling import stratified_split
 from cohortlens.operators.scale import settle
@@ -175,3 +176,30 @@ def test_a_fit_has_as_many_parts_as_its_passes_need(signal, monkeypatch):
     models.train(dealt, FEATURES, SETTINGS)
     assert seen["boost"] == (9, *whole)
     dealt.unpersist()
+
+
+def test_queries_fit_all_training_rows(spark, monkeypatch):
+    """12,000 of the 15,000 enrolments are for training."""
+    seen = {}
+
+    class Recorded:
+        def fit(self, rows):
+            seen["rows"] = rows.count()
+
+    monkeypatch.setattr(models, "make_pipeline", lambda *a, **k: Recorded())
+    _, tagged, _ = queries._trained(spark, DATA.replace("sf0.001", "sf0.01"), ["Logistic Regression"])
+    assert seen["rows"] == tagged.where("NOT is_test").count() == 12000
+
+
+def test_thresholds_come_from_all_rows(spark):
+    """One row in 30,000 has a value of its own; Spark's trees alone look at 10,000 of them."""
+    rows = spark.range(30000).selectExpr(
+        "CAST(id % 3 AS DOUBLE) + IF(id = 12345, 9, 0) AS a", "CAST(id AS DOUBLE) AS b", "0D AS c",
+        "CAST(id = 12345 AS DOUBLE) AS label",
+    )
+    edges = models.bin_edges(rows, FEATURES, [8, 32])
+    assert edges[8] == [[0, 1, 2, 9], [3750.0 * i for i in range(8)], [0]]
+    assert [len(x) for x in edges[32]] == [4, 32, 1]
+    settings = {"tree": {"kind": "forest", "numTrees": 1, "featureSubsetStrategy": "all", "maxDepth": 1}}
+    tree = models.train(rows, FEATURES, settings)["tree"]
+    assert tree.stages[-1].featureImportances[0] == 1
