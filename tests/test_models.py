@@ -203,3 +203,23 @@ def test_thresholds_come_from_all_rows(spark):
     settings = {"tree": {"kind": "forest", "numTrees": 1, "featureSubsetStrategy": "all", "maxDepth": 1}}
     tree = models.train(rows, FEATURES, settings)["tree"]
     assert tree.stages[-1].featureImportances[0] == 1
+
+
+def test_folds_are_read_without_a_shuffle(signal, monkeypatch):
+    """Each of the many steps of a fit would repeat it."""
+    plans, running = [], []
+
+    class Recorded:
+        def fit(self, rows):
+            running.append(1)
+            plans.append((rows.rdd.getNumPartitions(), rows._jdf.queryExecution().executedPlan().toString(), sum(running)))
+            running.pop()
+            raise InterruptedError
+
+    monkeypatch.setattr(models, "make_pipeline", lambda *a, **k: Recorded())
+    monkeypatch.setattr(models, "TASK_CELLS", 200)
+    with pytest.raises(InterruptedError):
+        models.cross_validate(signal, FEATURES, SETTINGS["Logistic Regression"], ["id"])
+    assert plans and all("Exchange" not in plan and parts > 4 for parts, plan, _ in plans)
+    # one fit has tasks for all cores: the folds wait for each other
+    assert all(n == 1 for _, _, n in plans)
