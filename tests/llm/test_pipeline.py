@@ -6,9 +6,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cohortlens.llm import queries
+from cohortlens.llm import jaccard, queries
 from cohortlens.llm.tokens import path_of
-from tests.llm.common import corpus, empty, messy
+from tests.llm.common import corpus, docs, empty, messy
 from tests.llm.test_dedup import plain_components
 from tests.llm.test_scoring import plain_tiles
 
@@ -91,3 +91,12 @@ def test_every_operator_has_a_query():
     assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in queries.QUERIES
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_near_copies_of_a_group_whose_blocks_share_nothing(spark, monkeypatch):
+    """A chain of overlapping texts is one group; cut into small blocks, its ends have no shingle in common."""
+    made = jaccard._block_products
+    monkeypatch.setattr(jaccard, "_block_products", lambda members, percent, block: made(members, percent, 2))
+    chain = [" ".join(f"w{i}" for i in range(6 * k, 60 + 6 * k)) for k in range(40)]
+    kept = corpus_pipeline.near_copies(spark, docs(spark, [*enumerate(chain), (99, "a text of its own that stays")]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 99]
